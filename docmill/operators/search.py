@@ -29,19 +29,21 @@ def contains_search(docs: DataFrame, query: str, k: int = SEARCH_K) -> DataFrame
     return docs.filter(found).orderBy("doc_id").limit(_positive(k)).select("doc_id", "text")
 
 
+def score_against(corpus: DataFrame, vector: Sequence[float]) -> DataFrame:
+    """``(doc_id, score)`` of every vector of the query's length."""
+    query = F.array(*[F.lit(float(x)) for x in vector])
+    return corpus.filter(F.size("vector") == len(vector)).select(
+        "doc_id", cosine(F.col("vector").cast("array<double>"), query).alias("score")
+    )
+
+
 def similar_to(corpus: DataFrame, vector: Sequence[float], k: int = SEARCH_K) -> DataFrame:
     """Top ``k`` of ``corpus (doc_id, vector)`` for one query vector.
 
-    Vectors of another length are skipped. Planned as ``TakeOrderedAndProject``:
-    each task keeps ``k`` rows. Ties go by ``doc_id``.
+    Planned as ``TakeOrderedAndProject``: each task keeps ``k`` rows. Ties go by
+    ``doc_id``.
     """
-    query = F.array(*[F.lit(float(x)) for x in vector])
-    return (
-        corpus.filter(F.size("vector") == len(vector))
-        .select("doc_id", cosine(F.col("vector").cast("array<double>"), query).alias("score"))
-        .orderBy(F.desc("score"), "doc_id")
-        .limit(_positive(k))
-    )
+    return score_against(corpus, vector).orderBy(F.desc("score"), "doc_id").limit(_positive(k))
 
 
 def embed_queries(queries: DataFrame) -> DataFrame:
