@@ -33,12 +33,10 @@ STOP_WORDS = (
 )
 
 
-def _by_document(docs: DataFrame, value: Column, name: str) -> DataFrame:
-    return (
-        docs.filter(F.col("doc_id").isNotNull())
-        .select("doc_id", value.alias(name))
-        .repartition("doc_id")
-    )
+def _by_document(docs: DataFrame) -> DataFrame:
+    """The one shuffle. It carries exactly ``(doc_id, text)``, so that all
+    operators used on the same documents in one query share it."""
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").repartition("doc_id")
 
 
 def _lemma_of(tokens: DataFrame, form: str, lemmas: DataFrame | None) -> DataFrame:
@@ -61,7 +59,7 @@ def keyword_tokens(
 ) -> DataFrame:
     """``(doc_id, pos, lemma)``: alphabetic, no stop word, lower case."""
     tokens = (
-        _by_document(docs, F.col("text"), "text")
+        _by_document(docs)
         .select("doc_id", F.posexplode(alphabetic_words(F.col("text"))).alias("pos", "word"))
         .select("doc_id", "pos", F.lower("word").alias("lemma"))
         .filter(~F.col("lemma").isin(*stop_words))
@@ -109,8 +107,8 @@ def keyword_frequency(top: DataFrame) -> DataFrame:
 
 def lemmatize(docs: DataFrame, lemmas: DataFrame) -> DataFrame:
     """``(doc_id, text)``: cleaned text with each word replaced by its lemma."""
-    tokens = _by_document(docs, clean_text(F.col("text")), "cleaned").select(
-        "doc_id", F.posexplode(F.split("cleaned", " +")).alias("pos", "form")
+    tokens = _by_document(docs).select(
+        "doc_id", F.posexplode(F.split(clean_text(F.col("text")), " +")).alias("pos", "form")
     )
     return _lemma_of(tokens, "form", lemmas).groupBy("doc_id").agg(
         join_in_order(F.col("pos"), F.col("form"), " ").alias("text")
@@ -125,18 +123,19 @@ def gazetteer_entities(docs: DataFrame, gazetteer: DataFrame, max_words: int = 3
     the text (``page``) may be added to ``docs`` as part of ``doc_id`` struct.
     """
     entries = broadcast_if_small(gazetteer.select("surface", "label").distinct())
-    runs = F.transform(
-        F.col("w"),
-        lambda _, i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("w") - i)),
-            lambda n: F.array_join(F.slice(F.col("w"), i + 1, n), " "),
-        ),
-    )
+    following = [f"w{n}" for n in range(1, max_words)]
+    runs = F.arrays_zip("w", *[
+        F.slice("w", F.lit(n + 1), F.size("w")).alias(name) for n, name in enumerate(following, 1)
+    ])
+    # at the end of a text the longer runs are null, and join nothing
+    surfaces = F.array("run.w", *[
+        F.concat("run.w", *[x for w in following[:n] for x in (F.lit(" "), F.col(f"run.{w}"))])
+        for n in range(1, max_words)
+    ])
     return (
         docs.select("doc_id", words(F.col("text")).alias("w"))
-        .filter(F.size("w") > 0)
-        .select("doc_id", F.posexplode(runs).alias("pos", "surfaces"))
-        .select("doc_id", "pos", F.explode("surfaces").alias("surface"))
+        .select("doc_id", F.posexplode(runs).alias("pos", "run"))
+        .select("doc_id", "pos", F.explode(surfaces).alias("surface"))
         .join(entries, "surface")
         .select("doc_id", "pos", "label", "surface")
     )
@@ -170,7 +169,7 @@ def frequency_summary(
     highest would not change the order but would blur ties. Repeated sentences
     count once, ties go by position, and the summary is in score order.
     """
-    by_doc = _by_document(docs, sentences(F.col("text")), "sentences")
+    by_doc = _by_document(docs).select("doc_id", sentences(F.col("text")).alias("sentences"))
 
     # explode_outer, as explode would add a filter below the shuffle and keep
     # the two uses of by_doc from sharing it
@@ -182,21 +181,18 @@ def frequency_summary(
     ))
     tokens = (
         by_doc.select("doc_id", F.explode_outer(candidates).alias("c"))
-        .select("doc_id", "c.pos", "c.ranked", F.explode(words(F.col("c.sentence"))).alias("word"))
+        .select("doc_id", "c.pos", "c.ranked", words(F.col("c.sentence")).alias("w"))
+        .select("doc_id", "pos", "ranked", F.explode("w").alias("word"))
         .withColumn("word", F.lower("word"))
         .filter(~F.col("word").isin(*stop_words))
     )
-    per_sentence = (
-        _lemma_of(tokens, "word", lemmas)
-        .groupBy("doc_id", "pos", "ranked", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    in_document = F.sum("n").over(Window.partitionBy("doc_id", "word"))
+    in_document = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "word"))
     scores = (
-        per_sentence.withColumn("freq", in_document)
+        _lemma_of(tokens, "word", lemmas)
+        .withColumn("freq", in_document)
         .filter("ranked")
         .groupBy("doc_id", "pos")
-        .agg(F.sum(F.col("n") * F.col("freq")).alias("score"))
+        .agg(F.sum("freq").alias("score"))
     )
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
     best = (

@@ -100,8 +100,9 @@ def gazetteer(spark, sf_dir):
         "item_id", words(F.col("text")).alias("w")
     ).filter(F.size("w") > 2)
     label = F.when(F.col("item_id") % 2 == 0, "PERSON").otherwise("ORG")
-    pairs = w.select(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("surface"), label.alias("label"))
-    return pairs.unionByName(w.select(F.col("w")[2].alias("surface"), F.lit("ORG").alias("label")))
+    pair = F.struct(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("surface"), label.alias("label"))
+    single = F.struct(F.col("w")[2].alias("surface"), F.lit("ORG").alias("label"))
+    return w.select(F.inline(F.array(pair, single)))
 
 
 @query("ex8_gazetteer_entities", f"WITH {DOCS}, {GAZETTEER}, {ENTITIES} SELECT * FROM e")

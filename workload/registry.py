@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docmill.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose texts get costly work, over all cores even if it is one file."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 TEXT = """text || chr(10)
  || 'Contact a' || cast(doc_id % 50 as string) || '.b@mail' || cast(doc_id % 7 as string)
  || '.example.org. Or call +44 20-7946 0' || lpad(cast(doc_id % 1000 as string), 3, '0')
@@ -65,7 +72,7 @@ REPLY = """case doc_id % 15
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text, filename, raw`` (a verdict reply)."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", F.expr(TEXT).alias("text"), F.expr(FILENAME).alias("filename"),
         F.expr(REPLY).alias("raw"),
     )
