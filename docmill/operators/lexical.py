@@ -16,7 +16,7 @@ from docmill.fixed_values import (
     KEYWORDS_KEPT, NO_SUMMARY, SUMMARY_MIN_CHARS, SUMMARY_SENTENCES,
 )
 from docmill.functions.text import (
-    alphabetic_words, clean_text, join_in_order, sentences, words,
+    alphabetic_words, bind, clean_text, join_in_order, sentences, words,
 )
 from docmill.session import broadcast_if_small
 
@@ -158,6 +158,23 @@ def entity_lists(entities: DataFrame, distinct: bool = True) -> DataFrame:
     )
 
 
+def _candidates(listed: Column, min_chars: int) -> Column:
+    """``array<struct<pos, sentence, ranked>>``, in no useful order. Of equal
+    sentences the first stands for all. Sorting puts them side by side, which
+    keeps a text with very many sentences from comparing each with each."""
+    by_sentence = F.array_sort(F.transform(
+        listed, lambda s, i: F.struct(s.alias("sentence"), i.alias("pos"))
+    ))
+    return bind(by_sentence, lambda ordered: F.transform(ordered, lambda x, j: F.struct(
+        x["pos"].alias("pos"),
+        x["sentence"].alias("sentence"),
+        (
+            (F.length(x["sentence"]) > min_chars)
+            & ((j == 0) | (F.get(ordered, j - 1)["sentence"] != x["sentence"]))
+        ).alias("ranked"),
+    )))
+
+
 def frequency_summary(
     docs: DataFrame, k: int = SUMMARY_SENTENCES, min_chars: int = SUMMARY_MIN_CHARS,
     stop_words: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None,
@@ -171,14 +188,9 @@ def frequency_summary(
     """
     by_doc = _by_document(docs).select("doc_id", sentences(F.col("text")).alias("sentences"))
 
+    candidates = _candidates(F.col("sentences"), min_chars)
     # explode_outer, as explode would add a filter below the shuffle and keep
     # the two uses of by_doc from sharing it
-    candidates = F.transform(F.col("sentences"), lambda s, i: F.struct(
-        i.alias("pos"),
-        s.alias("sentence"),
-        # the first of equal sentences stands for all of them
-        ((F.length(s) > min_chars) & (F.array_position("sentences", s) == i + 1)).alias("ranked"),
-    ))
     tokens = (
         by_doc.select("doc_id", F.explode_outer(candidates).alias("c"))
         .select("doc_id", "c.pos", "c.ranked", words(F.col("c.sentence")).alias("w"))
@@ -205,15 +217,17 @@ def frequency_summary(
     )
 
     # Sentences without any counted word score 0 and follow in text order.
-    eligible = F.filter(
-        F.sequence(F.lit(0), F.size("sentences") - 1),
-        lambda i: (F.length(F.col("sentences")[i]) > min_chars)
-        & (F.array_position("sentences", F.col("sentences")[i]) == i + 1),
+    best_or_none = F.coalesce("best", F.expr("cast(array() as array<int>)"))
+    eligible = F.array_sort(F.transform(
+        F.filter(candidates, lambda c: c["ranked"]), lambda c: c["pos"]
+    ))
+    picked = F.when(F.size(best_or_none) == k, best_or_none).otherwise(
+        F.slice(F.array_union(best_or_none, eligible), 1, k)
     )
-    picked = F.slice(
-        F.array_union(F.coalesce("best", F.expr("cast(array() as array<int>)")), eligible), 1, k
+    chosen = by_doc.join(best, "doc_id", "left").select(
+        "doc_id", "sentences", picked.alias("picked")
     )
-    summary = F.array_join(F.transform(picked, lambda i: F.col("sentences")[i]), " ")
-    return by_doc.join(best, "doc_id", "left").select(
-        "doc_id", F.when(F.size(picked) > 0, summary).otherwise(NO_SUMMARY).alias("summary")
+    summary = F.array_join(F.transform("picked", lambda i: F.col("sentences")[i]), " ")
+    return chosen.select(
+        "doc_id", F.when(F.size("picked") > 0, summary).otherwise(NO_SUMMARY).alias("summary")
     )

@@ -38,14 +38,15 @@ def assemble(pages: DataFrame) -> DataFrame:
 def fill_from_ocr(pages: DataFrame, ocr_texts: DataFrame) -> DataFrame:
     """Blank pages take their OCR text; ``needs_ocr`` marks those still blank.
 
-    The page number is part of the join key, so a document with very many
-    pages spreads over all partitions.
+    Only the blank pages are joined, so no page text is shuffled. The page number
+    is part of the key: a document with very many pages spreads over all tasks.
     """
-    joined = pages.join(ocr_texts, ["doc_id", "page"], "left")
-    text = F.when(is_blank(F.col("text")), F.coalesce("ocr_text", "text")).otherwise(F.col("text"))
-    return joined.select("doc_id", "page", text.alias("text")).withColumn(
-        "needs_ocr", is_blank(F.col("text"))
-    )
+    blank = is_blank(F.coalesce("text", F.lit("")))
+    with_text = pages.filter(~blank).select("doc_id", "page", "text", F.lit(False).alias("needs_ocr"))
+    filled = pages.filter(blank).join(ocr_texts, ["doc_id", "page"], "left").select(
+        "doc_id", "page", F.coalesce("ocr_text", "text").alias("text")
+    ).withColumn("needs_ocr", is_blank(F.coalesce("text", F.lit(""))))
+    return with_text.unionByName(filled)
 
 
 def page_result(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,10 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from docmill.fixed_values import HIT_PREVIEW_CHARS, SEARCH_K
 from docmill.functions.text import preview
 from docmill.functions.vectors import cosine, embed
+from docmill.session import work_dir
+
+
+BROADCAST_HITS = 500_000
 
 
 def _positive(k: int) -> int:
@@ -64,8 +67,9 @@ def top_similar(
     The corpus is neither shuffled nor paired with the queries row by row. Each
     task multiplies Arrow batches of vectors with a block of query vectors and
     keeps the ``k`` best per query, so at most ``k`` rows per query and task
-    reach the shuffle. A block holds at most ``block_bytes`` of query vectors;
-    a larger query table is handled exactly, one corpus scan per block.
+    reach the shuffle. A block holds about ``block_bytes`` of query vectors; a
+    larger query table is handled exactly, one corpus scan per block, each block's
+    hits being written to the work folder before the next block is read.
     """
     _positive(k)
     wanted = F.coalesce("k", F.lit(k)) if "k" in queries.columns else F.lit(k)
@@ -88,16 +92,23 @@ def top_similar(
     vectors = corpus.filter(F.size("vector") > 0).select(
         "doc_id", F.col("vector").cast("array<double>").alias("vector")
     )
-    best = reduce(DataFrame.unionByName, [
-        vectors.mapInArrow(_block_scan(asked.filter(block_of == b)), partial)
-        for b in range(n_blocks)
-    ])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return (
-        best.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= F.col("k"))
-        .select("query_id", "rank", "doc_id", "score")
-    )
+
+    def hits_of(block: DataFrame) -> DataFrame:
+        return (
+            vectors.mapInArrow(_block_scan(block), partial)
+            .withColumn("rank", F.row_number().over(order))
+            .filter(F.col("rank") <= F.col("k"))
+            .select("query_id", "rank", "doc_id", "score")
+        )
+
+    if n_blocks == 1:
+        return hits_of(asked)
+    spark = corpus.sparkSession
+    folder = work_dir(spark, "hits")
+    for block in range(n_blocks):
+        hits_of(asked.filter(block_of == block)).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def _block_scan(block: DataFrame):
@@ -173,17 +184,20 @@ def _block_scan(block: DataFrame):
     return scan
 
 
-def expand_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
+def expand_hits(hits: DataFrame, documents: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Hits with the file name and a text preview of their documents.
 
-    The store is first cut to the documents that were hit (a small set, which
-    adaptive execution broadcasts after measuring it), then joined. A hit whose
-    document is gone keeps a null file name and an empty preview.
+    The store is first cut to the documents that were hit, then joined. Where
+    ``max_hits`` proves the hits few (queries times ``k``), their ids are
+    broadcast and the store is not shuffled; else only ids, names and previews
+    are. A hit whose document is gone keeps a null file name and an empty preview.
     """
     ids = hits.select("doc_id").distinct()
-    hit_documents = documents.join(ids, "doc_id", "left_semi").select(
+    if max_hits is not None and max_hits <= BROADCAST_HITS:
+        ids = F.broadcast(ids)
+    previews = documents.select(
         "doc_id", "filename", preview(F.col("text"), HIT_PREVIEW_CHARS).alias("text_preview")
     )
-    return hits.join(hit_documents, "doc_id", "left").withColumn(
+    return hits.join(previews.join(ids, "doc_id", "left_semi"), "doc_id", "left").withColumn(
         "text_preview", F.coalesce("text_preview", F.lit(""))
     )

@@ -12,6 +12,7 @@ from docmill.fixed_values import (
 )
 from docmill.functions.text import is_blank, join_in_order, sentences, split_space
 from docmill.operators.annotate import annotate
+from docmill.session import broadcast_if_small
 
 
 def heuristic_summary(
@@ -93,11 +94,11 @@ def requested_summaries(requests: DataFrame, documents: DataFrame) -> tuple[Data
     """Summaries of stored documents or of given texts, and the rejected requests.
 
     ``requests (request_id, doc_id, text)``: a ``doc_id`` wins over a text. Each
-    requested document is summarised once, however often it is asked for, and
-    only those documents leave the store's scan.
+    requested document is summarised once, however often it is asked for. The ids
+    are broadcast if few, so that only those documents leave the store's scan.
     """
     wanted = F.coalesce("doc_id", F.lit("")) != ""
-    ids = requests.filter(wanted).select("doc_id").distinct()
+    ids = broadcast_if_small(requests.filter(wanted).select("doc_id").distinct(), 1_000_000)
     stored = documents.join(ids, "doc_id", "left_semi").select(
         "doc_id",
         F.lit(True).alias("found"),

@@ -80,11 +80,11 @@ def analyze(
             "names", F.coalesce(F.col("names"), no_strings())
         ).join(_page_entities(full, gazetteer), "doc_id", "left")
 
-        def page_names(page):
-            return F.try_element_at(F.col("page_entities"), page)["names"]
+        def page_names(i):
+            return F.get("page_entities", i)["names"]
 
-        def page_orgs(page):
-            return F.try_element_at(F.col("page_entities"), page)["organizations"]
+        def page_orgs(i):
+            return F.get("page_entities", i)["organizations"]
 
     if replies is None:
         joined = joined.withColumn("raw", F.lit(None).cast("string"))
@@ -93,8 +93,8 @@ def analyze(
 
     results = F.transform("pages", lambda text, i: pages_op.page_result(
         i + 1, text,
-        None if page_names is None else page_names(i + 1),
-        None if page_orgs is None else page_orgs(i + 1),
+        None if page_names is None else page_names(i),
+        None if page_orgs is None else page_orgs(i),
         keywords,
     ))
     found = joined.select(
@@ -130,13 +130,16 @@ def analyze(
 
 
 def _page_entities(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """``(doc_id, page_entities map<page, struct<names, organizations>>)``."""
+    """``(doc_id, page_entities array<struct<names, organizations>>)``, one entry
+    per page in page order, so that page ``i`` finds its own by position."""
     pages = pages_op.explode_pages(docs).select(
         F.struct("doc_id", "page").alias("doc_id"), "text"
     )
     lists = lexical.entity_lists(lexical.gazetteer_entities(pages, gazetteer), distinct=False)
-    return lists.groupBy(F.col("doc_id.doc_id").alias("doc_id")).agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            F.col("doc_id.page"), F.struct("names", "organizations")
-        ))).alias("page_entities")
+    found = lists.select("doc_id.doc_id", "doc_id.page", F.struct("names", "organizations").alias("e"))
+    numbers = docs.select("doc_id", F.explode(F.transform("pages", lambda _, i: i + 1)).alias("page"))
+    return numbers.join(found, ["doc_id", "page"], "left").groupBy("doc_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("page", "e"))), lambda x: x["e"]
+        ).alias("page_entities")
     )

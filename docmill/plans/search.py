@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from docmill.fixed_values import SEARCH_K
 from docmill.operators.search import embed_queries, expand_hits, top_similar
@@ -14,7 +14,9 @@ def search_documents(documents: DataFrame, queries: DataFrame, k: int = SEARCH_K
 
     Returns ``query_id, rank, doc_id, score, filename, text_preview``.
     """
+    wanted = F.coalesce("k", F.lit(k)) if "k" in queries.columns else F.lit(k)
+    max_hits = queries.agg(F.sum(wanted)).first()[0] or 0
     hits = top_similar(ids_and_vectors(documents), embed_queries(queries), k)
-    return expand_hits(hits, documents).select(
+    return expand_hits(hits, documents, max_hits).select(
         "query_id", "rank", "doc_id", "score", "filename", "text_preview"
     )

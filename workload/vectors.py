@@ -116,7 +116,8 @@ FROM hk LEFT JOIN kept ON hk.doc_id = kept.doc_id""")
 def expanded_hits(spark, sf_dir):
     """Hits whose documents are partly gone from the store."""
     kept = _store(spark, sf_dir).filter(F.col("doc_id") % 4 != 0)
-    return _out(expand_hits(_hits(spark, sf_dir, k=8), kept))
+    max_hits = 8 * _text_queries(spark, sf_dir).count()
+    return _out(expand_hits(_hits(spark, sf_dir, k=8), kept, max_hits))
 
 
 @query("tk4_top_by_label", f"""WITH {EMB}, u AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM em),
