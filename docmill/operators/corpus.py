@@ -48,8 +48,10 @@ def file_types(analyses: DataFrame) -> DataFrame:
 
 def clause_frequency(analyses: DataFrame) -> DataFrame:
     """``(clause, n)``: sums of the per-document counts, zeros kept."""
+    # explode would add a filter on the map, computing one not yet stored twice
     return (
-        analyses.select(F.explode("analytics.clause_summary").alias("clause", "n"))
+        analyses.select(F.explode_outer("analytics.clause_summary").alias("clause", "n"))
+        .filter(F.col("clause").isNotNull())
         .groupBy("clause")
         .agg(F.sum("n").alias("n"))
     )

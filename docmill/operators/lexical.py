@@ -115,14 +115,18 @@ def lemmatize(docs: DataFrame, lemmas: DataFrame) -> DataFrame:
     )
 
 
-def gazetteer_entities(docs: DataFrame, gazetteer: DataFrame, max_words: int = 3) -> DataFrame:
+def dictionary(gazetteer: DataFrame) -> DataFrame:
+    """Distinct entries of a gazetteer, marked for broadcast if measured small."""
+    return broadcast_if_small(gazetteer.select("surface", "label").distinct())
+
+
+def gazetteer_entities(docs: DataFrame, entries: DataFrame, max_words: int = 3) -> DataFrame:
     """``(doc_id, pos, label, surface)`` for every dictionary entry in a text.
 
-    ``gazetteer (surface, label)`` holds word sequences separated by one space.
-    Runs of up to ``max_words`` words are looked up. Extra columns that identify
-    the text (``page``) may be added to ``docs`` as part of ``doc_id`` struct.
+    ``entries (surface, label)``, see ``dictionary``, holds word sequences
+    separated by one space; runs of up to ``max_words`` words are looked up.
+    For texts that are parts of documents, ``doc_id`` may be a struct.
     """
-    entries = broadcast_if_small(gazetteer.select("surface", "label").distinct())
     following = [f"w{n}" for n in range(1, max_words)]
     runs = F.arrays_zip("w", *[
         F.slice("w", F.lit(n + 1), F.size("w")).alias(name) for n, name in enumerate(following, 1)

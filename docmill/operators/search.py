@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from docmill.fixed_values import HIT_PREVIEW_CHARS, SEARCH_K
@@ -13,7 +14,6 @@ from docmill.functions.text import preview
 from docmill.functions.vectors import cosine, embed
 from docmill.session import work_dir
 
-
 BROADCAST_HITS = 500_000
 
 
@@ -89,12 +89,12 @@ def top_similar(
         T.StructField("score", T.DoubleType()),
         T.StructField("k", T.IntegerType()),
     ])
-    vectors = corpus.filter(F.size("vector") > 0).select(
-        "doc_id", F.col("vector").cast("array<double>").alias("vector")
-    )
+    # empty vectors match no query and need no filter; one would be pushed below
+    # the embedding and compute it twice
+    vectors = corpus.select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
 
-    def hits_of(block: DataFrame) -> DataFrame:
+    def hits_of(block: Broadcast) -> DataFrame:
         return (
             vectors.mapInArrow(_block_scan(block), partial)
             .withColumn("rank", F.row_number().over(order))
@@ -103,35 +103,39 @@ def top_similar(
         )
 
     if n_blocks == 1:
-        return hits_of(asked)
+        return hits_of(_share_block(asked))
     spark = corpus.sparkSession
     folder = work_dir(spark, "hits")
-    for block in range(n_blocks):
-        hits_of(asked.filter(block_of == block)).write.mode("append").parquet(folder)
+    for number in range(n_blocks):
+        block = _share_block(asked.filter(block_of == number))
+        hits_of(block).write.mode("append").parquet(folder)
+        block.destroy()
     return spark.read.parquet(folder)
 
 
-def _block_scan(block: DataFrame):
-    """The per-task function that scans vectors for one block of queries."""
-    # bounded by block_bytes; one row per query
+def _share_block(block: DataFrame) -> Broadcast:
+    """Broadcast one block of queries: ids, ``k`` and vectors grouped by length.
+    Its size is bounded by the block size."""
     table = block.toArrow()
-    arrow_ids = table.schema.field("query_id").type
-    query_ids = table.column("query_id").to_pylist()
-    ks = table.column("k").to_pylist()
-    vectors = table.column("vector").to_pylist()
     by_length: dict[int, list[int]] = {}
+    vectors = table.column("vector").to_pylist()
     for row, vector in enumerate(vectors):
         by_length.setdefault(len(vector), []).append(row)
     groups = {
         length: (rows, np.array([vectors[r] for r in rows]))
         for length, rows in by_length.items()
     }
-    shared = block.sparkSession.sparkContext.broadcast((query_ids, ks, groups))
+    return block.sparkSession.sparkContext.broadcast(
+        (table.column("query_id").combine_chunks(), table.column("k").to_pylist(), groups)
+    )
 
+
+def _block_scan(block: Broadcast):
+    """The per-task function that scans vectors for one block of queries."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, ks, groups = shared.value
-        best: list[list] = [[] for _ in query_ids]
-        floor = np.full(len(query_ids), -np.inf)
+        query_ids, ks, groups = block.value
+        best: list[list] = [[] for _ in ks]
+        floor = np.full(len(ks), -np.inf)
         id_field = None
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
@@ -170,13 +174,13 @@ def _block_scan(block: DataFrame):
                         if len(merged) == k:
                             floor[row] = -merged[-1][0]
         found = [
-            (query_ids[row], doc_id, -negated, ks[row])
+            (row, doc_id, -negated, ks[row])
             for row, hits in enumerate(best) for negated, doc_id in hits
         ]
         if found:
-            query, doc_id, score, k = zip(*found)
+            row, doc_id, score, k = zip(*found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(query, arrow_ids), pa.array(doc_id, id_field),
+                [query_ids.take(pa.array(row)), pa.array(doc_id, id_field),
                  pa.array(score, pa.float64()), pa.array(k, pa.int32())],
                 names=["query_id", "doc_id", "score", "k"],
             )

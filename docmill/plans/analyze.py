@@ -63,11 +63,12 @@ def analyze(
     ``replies (doc_id, raw)`` are the model's verdicts and ``gazetteer (surface,
     label)`` supplies names and organisations. All joins are on ``doc_id``.
     """
-    full = docs.withColumn("text", F.array_join("pages", "\n", ""))
-    texts = full.select("doc_id", "text")
+    text = F.array_join("pages", "\n", "")
+    texts = docs.select("doc_id", text.alias("text"))
     top = lexical.top_keywords(texts, stop_words=stop_words, lemmas=lemmas)
     joined = (
-        full.join(lexical.keyword_frequency(top), "doc_id", "left")
+        docs.select("doc_id", "filename", "pages")
+        .join(lexical.keyword_frequency(top), "doc_id", "left")
         .join(lexical.frequency_summary(texts, stop_words=stop_words, lemmas=lemmas),
               "doc_id", "left")
     )
@@ -75,10 +76,11 @@ def analyze(
         joined = joined.withColumn("names", no_strings())
         page_names = page_orgs = None
     else:
-        in_text = lexical.entity_lists(lexical.gazetteer_entities(texts, gazetteer))
+        entries = lexical.dictionary(gazetteer)
+        in_text = lexical.entity_lists(lexical.gazetteer_entities(texts, entries))
         joined = joined.join(in_text.select("doc_id", "names"), "doc_id", "left").withColumn(
             "names", F.coalesce(F.col("names"), no_strings())
-        ).join(_page_entities(full, gazetteer), "doc_id", "left")
+        ).join(_page_entities(docs, entries), "doc_id", "left")
 
         def page_names(i):
             return F.get("page_entities", i)["names"]
@@ -97,7 +99,8 @@ def analyze(
         None if page_orgs is None else page_orgs(i),
         keywords,
     ))
-    found = joined.select(
+    # the joined text is built after the shuffles, which carry the pages only
+    found = joined.withColumn("text", text).select(
         "doc_id", "filename", results.alias("results"), "keyword_frequency", "summary", "names",
         F.size("pages").alias("total_pages"),
         parse_verdict(F.col("raw")).alias("verdict"),
@@ -129,13 +132,13 @@ def analyze(
     return counted.select("doc_id", "filename", "results", analytics.alias("analytics")).to(ANALYSIS)
 
 
-def _page_entities(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def _page_entities(docs: DataFrame, entries: DataFrame) -> DataFrame:
     """``(doc_id, page_entities array<struct<names, organizations>>)``, one entry
     per page in page order, so that page ``i`` finds its own by position."""
     pages = pages_op.explode_pages(docs).select(
         F.struct("doc_id", "page").alias("doc_id"), "text"
     )
-    lists = lexical.entity_lists(lexical.gazetteer_entities(pages, gazetteer), distinct=False)
+    lists = lexical.entity_lists(lexical.gazetteer_entities(pages, entries), distinct=False)
     found = lists.select("doc_id.doc_id", "doc_id.page", F.struct("names", "organizations").alias("e"))
     numbers = docs.select("doc_id", F.explode(F.transform("pages", lambda _, i: i + 1)).alias("page"))
     return numbers.join(found, ["doc_id", "page"], "left").groupBy("doc_id").agg(

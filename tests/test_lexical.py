@@ -74,7 +74,7 @@ def test_gazetteer(spark):
     entries = spark.createDataFrame(
         [("Ann Bell", "PERSON"), ("Ann", "PERSON"), ("Acme Corp", "ORG"), ("Ann", "PERSON")],
         "surface string, label string")
-    found = lexical.gazetteer_entities(df, entries)
+    found = lexical.gazetteer_entities(df, lexical.dictionary(entries))
     assert sorted((r.pos, r.surface) for r in found.collect()) == [
         (0, "Ann"), (0, "Ann Bell"), (3, "Ann"), (5, "Acme Corp"), (7, "Ann"), (7, "Ann Bell")]
     document = lexical.entity_lists(found).first()
