@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -165,7 +166,14 @@ def _block_scan(block: Broadcast):
                         candidates = np.flatnonzero(line >= floor[row])
                         if candidates.size > k:
                             kth = np.partition(line[candidates], -k)[-k]
-                            candidates = candidates[line[candidates] >= kth]
+                            ties = candidates[line[candidates] == kth]
+                            # copies of one vector may fill the batch: the
+                            # smallest ids of them are all that can rank
+                            first = pc.select_k_unstable(
+                                ids.take(pa.array(at[ties])), k, [("", "ascending")]
+                            ).to_numpy()
+                            above = candidates[line[candidates] > kth]
+                            candidates = np.concatenate([above, ties[first]])
                         found = ids.take(pa.array(at[candidates])).to_pylist()
                         merged = sorted(
                             best[row] + list(zip((-line[candidates]).tolist(), found))

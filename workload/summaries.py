@@ -62,23 +62,25 @@ def heuristic_top_two(spark, sf_dir):
 
 # --- The model hook: a stand-in model ----------------------------------------
 
-def first_words():
-    """A stand-in for a summariser: the first 30 characters, marked."""
-    return lambda rows: [f"<{text[:30]}>" for (text,) in rows]
+def stand_in(answer):
+    """A model factory. Its functions are nested, so that they travel to the
+    workers by value and need no installed package there."""
+    def factory():
+        return lambda rows: [answer(*row) for row in rows]
+    return factory
 
 
-def failing_on_termination():
-    """A stand-in that fails on some inputs."""
-    def model(rows):
-        for (text,) in rows:
-            if "Termination" in text:
-                raise ValueError("refused")
-        return [f"<{text[:30]}>" for (text,) in rows]
-    return model
+def failing():
+    def answer(text):
+        if "Termination" in text:
+            raise ValueError("refused")
+        return f"<{text[:30]}>"
+    return stand_in(answer)
 
 
-def answer_length():
-    return lambda rows: [f"{len(text)} of {question}" for text, question in rows]
+first_words = stand_in(lambda text: f"<{text[:30]}>")
+failing_on_termination = failing()
+answer_length = stand_in(lambda text, question: f"{len(text)} of {question}")
 
 
 CHUNKS = """cc AS (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, cast(ceil(length(text) / 900.0) AS int)) END) AS i FROM d),
