@@ -9,6 +9,7 @@ times the volume.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -115,32 +116,51 @@ def lemmatize(docs: DataFrame, lemmas: DataFrame) -> DataFrame:
     )
 
 
-def dictionary(gazetteer: DataFrame) -> DataFrame:
-    """Distinct entries of a gazetteer, marked for broadcast if measured small."""
-    return broadcast_if_small(gazetteer.select("surface", "label").distinct())
+class Dictionary(NamedTuple):
+    """Entries ``(surface, label)`` of a gazetteer and, if they are few, the words
+    they begin with."""
+    entries: DataFrame
+    first_words: DataFrame | None
 
 
-def gazetteer_entities(docs: DataFrame, entries: DataFrame, max_words: int = 3) -> DataFrame:
+def dictionary(gazetteer: DataFrame) -> Dictionary:
+    """Distinct entries of ``gazetteer (surface, label)``, word sequences separated
+    by one space; marked for broadcast if measured small."""
+    entries = gazetteer.select("surface", "label").distinct()
+    marked = broadcast_if_small(entries)
+    if marked is entries:
+        return Dictionary(entries, None)
+    first = entries.select(F.substring_index("surface", " ", 1).alias("first")).distinct()
+    return Dictionary(marked, F.broadcast(first))
+
+
+def gazetteer_entities(docs: DataFrame, known: Dictionary, max_words: int = 3) -> DataFrame:
     """``(doc_id, pos, label, surface)`` for every dictionary entry in a text.
 
-    ``entries (surface, label)``, see ``dictionary``, holds word sequences
-    separated by one space; runs of up to ``max_words`` words are looked up.
-    For texts that are parts of documents, ``doc_id`` may be a struct.
+    Runs of up to ``max_words`` words are looked up. With a small dictionary,
+    words that begin no entry drop out before the runs are formed; neither step
+    shuffles the words. For texts that are parts of documents, ``doc_id`` may be
+    a struct.
     """
     following = [f"w{n}" for n in range(1, max_words)]
     runs = F.arrays_zip("w", *[
         F.slice("w", F.lit(n + 1), F.size("w")).alias(name) for n, name in enumerate(following, 1)
     ])
     # at the end of a text the longer runs are null, and join nothing
-    surfaces = F.array("run.w", *[
-        F.concat("run.w", *[x for w in following[:n] for x in (F.lit(" "), F.col(f"run.{w}"))])
+    surfaces = F.array("first", *[
+        F.concat("first", *[x for w in following[:n] for x in (F.lit(" "), F.col(w))])
         for n in range(1, max_words)
     ])
-    return (
+    starts = (
         docs.select("doc_id", words(F.col("text")).alias("w"))
         .select("doc_id", F.posexplode(runs).alias("pos", "run"))
-        .select("doc_id", "pos", F.explode(surfaces).alias("surface"))
-        .join(entries, "surface")
+        .select("doc_id", "pos", F.col("run.w").alias("first"), *[f"run.{w}" for w in following])
+    )
+    if known.first_words is not None:
+        starts = starts.join(known.first_words, "first", "left_semi")
+    return (
+        starts.select("doc_id", "pos", F.explode(surfaces).alias("surface"))
+        .join(known.entries, "surface")
         .select("doc_id", "pos", "label", "surface")
     )
 

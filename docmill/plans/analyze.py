@@ -76,11 +76,11 @@ def analyze(
         joined = joined.withColumn("names", no_strings())
         page_names = page_orgs = None
     else:
-        entries = lexical.dictionary(gazetteer)
-        in_text = lexical.entity_lists(lexical.gazetteer_entities(texts, entries))
+        known = lexical.dictionary(gazetteer)
+        in_text = lexical.entity_lists(lexical.gazetteer_entities(texts, known))
         joined = joined.join(in_text.select("doc_id", "names"), "doc_id", "left").withColumn(
             "names", F.coalesce(F.col("names"), no_strings())
-        ).join(_page_entities(docs, entries), "doc_id", "left")
+        ).join(_page_entities(docs, known), "doc_id", "left")
 
         def page_names(i):
             return F.get("page_entities", i)["names"]
@@ -132,13 +132,13 @@ def analyze(
     return counted.select("doc_id", "filename", "results", analytics.alias("analytics")).to(ANALYSIS)
 
 
-def _page_entities(docs: DataFrame, entries: DataFrame) -> DataFrame:
+def _page_entities(docs: DataFrame, known: lexical.Dictionary) -> DataFrame:
     """``(doc_id, page_entities array<struct<names, organizations>>)``, one entry
     per page in page order, so that page ``i`` finds its own by position."""
     pages = pages_op.explode_pages(docs).select(
         F.struct("doc_id", "page").alias("doc_id"), "text"
     )
-    lists = lexical.entity_lists(lexical.gazetteer_entities(pages, entries), distinct=False)
+    lists = lexical.entity_lists(lexical.gazetteer_entities(pages, known), distinct=False)
     found = lists.select("doc_id.doc_id", "doc_id.page", F.struct("names", "organizations").alias("e"))
     numbers = docs.select("doc_id", F.explode(F.transform("pages", lambda _, i: i + 1)).alias("page"))
     return numbers.join(found, ["doc_id", "page"], "left").groupBy("doc_id").agg(

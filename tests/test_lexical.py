@@ -67,13 +67,16 @@ def test_lemma_join_is_the_same_without_broadcast(spark, docs, monkeypatch):
     assert {tuple(r) for r in lexical.top_keywords(df, lemmas=lemmas).collect()} == wanted
 
 
-def test_gazetteer(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_gazetteer(spark, small, monkeypatch):
     df = spark.createDataFrame(
         [(1, "Ann Bell met Ann at Acme Corp. Ann Bell"), (2, "nobody"), (3, "")],
         "doc_id int, text string")
     entries = spark.createDataFrame(
         [("Ann Bell", "PERSON"), ("Ann", "PERSON"), ("Acme Corp", "ORG"), ("Ann", "PERSON")],
         "surface string, label string")
+    if not small:
+        monkeypatch.setattr(lexical, "broadcast_if_small", lambda d: d)
     found = lexical.gazetteer_entities(df, lexical.dictionary(entries))
     assert sorted((r.pos, r.surface) for r in found.collect()) == [
         (0, "Ann"), (0, "Ann Bell"), (3, "Ann"), (5, "Acme Corp"), (7, "Ann"), (7, "Ann Bell")]

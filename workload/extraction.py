@@ -105,14 +105,14 @@ def gazetteer(spark, sf_dir):
     return w.select(F.inline(F.array(pair, single)))
 
 
-def entries(spark, sf_dir):
+def known(spark, sf_dir):
     return lexical.dictionary(gazetteer(spark, sf_dir))
 
 
 @query("ex8_gazetteer_entities", f"WITH {DOCS}, {GAZETTEER}, {ENTITIES} SELECT * FROM e")
 def gazetteer_entities(spark, sf_dir):
     return lexical.gazetteer_entities(
-        documents(spark, sf_dir), entries(spark, sf_dir), max_words=2
+        documents(spark, sf_dir), known(spark, sf_dir), max_words=2
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -165,7 +165,7 @@ s AS (SELECT *, least(100, least(40, 2 * total_names) + least(30, 4 * total_clau
 def scored(spark, sf_dir):
     docs = documents(spark, sf_dir)
     names = lexical.entity_lists(
-        lexical.gazetteer_entities(docs, entries(spark, sf_dir), max_words=2)
+        lexical.gazetteer_entities(docs, known(spark, sf_dir), max_words=2)
     ).select("doc_id", "names")
     named = docs.join(names, "doc_id", "left").withColumn(
         "names", F.coalesce("names", F.expr("cast(array() as array<string>)")))
