@@ -26,7 +26,7 @@ SCHEDULES = (
     ((0.0, 1.0), (1.0, 1.0)),
     ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
 )
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 20_000
 
 
 def integrated(knots) -> list[tuple[float, float, float, float, float, float]]:
