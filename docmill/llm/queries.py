@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from docmill.llm.common import table
 from docmill.llm.op1_toxicity import toxicity
 from docmill.llm.op2_mix import mix, position
+from docmill.llm.op3_pieces import encode
 from docmill.llm.op4_licenses import scan_licenses
 from docmill.llm.op6_exact_dedup import exact_dedup
 from docmill.llm.op7_warc import warc_round_trip
+from docmill.llm.op9_suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +61,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+@query("op3_pieces")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
 @query("op4_licenses")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
@@ -83,3 +90,8 @@ SELECT page_id, payload_bytes, payload_digest,
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
