@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docmill.llm.common import table
+from docmill.llm.op10_embedding_dedup import embedding_dedup
 from docmill.llm.op1_toxicity import toxicity
 from docmill.llm.op2_mix import mix, position
 from docmill.llm.op3_pieces import encode
@@ -95,3 +96,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op10_embedding_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+ AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(n, r) AS (SELECT vec_id, vec_id FROM embeddings UNION
+ SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.n WHERE reach.r < links.b),
+low AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n)
+SELECT vec_id, coalesce(k, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN low ON n = vec_id LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) ON a = vec_id
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
