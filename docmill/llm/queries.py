@@ -12,6 +12,7 @@ from docmill.llm.op1_toxicity import toxicity
 from docmill.llm.op2_mix import mix, position
 from docmill.llm.op3_pieces import encode
 from docmill.llm.op4_licenses import scan_licenses
+from docmill.llm.op5_jaccard_join import jaccard_components
 from docmill.llm.op6_exact_dedup import exact_dedup
 from docmill.llm.op7_warc import warc_round_trip
 from docmill.llm.op9_suffix_dedup import suffix_dedup
@@ -72,6 +73,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+@query("op5_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("twin")
+
+
 @query("op6_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
