@@ -281,13 +281,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.1)), float(w[1])
 
 
+def _judged(weights: np.ndarray):
+    """Arrow batches of any columns, the last one the text: ``best`` is added."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            best = pa.array([float(b) for b, _ in best_windows(texts, weights)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, best], names=[*batch.schema.names, "best"])
+    return run
+
+
+def _scored(df: DataFrame, model: dict) -> DataFrame:
+    score_ = 1 / (1 + F.exp(-(F.col("best") * model["scale"] + model["shift"])))
+    return df.withColumn("score", score_).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("best")
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, score (0..1), predicted`` of every row's whole text; a null text is empty."""
-    found = slices(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(
-        _windows(model["weights"], 0), f"doc_id {dict(docs.dtypes)['doc_id']}, best double")
-    score_ = 1 / (1 + F.exp(-(F.col("best") * model["scale"] + model["shift"])))
-    return found.select("doc_id", score_.alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int"))
+    return _scored(slices(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(
+        _windows(model["weights"], 0), f"doc_id {dict(docs.dtypes)['doc_id']}, best double"), model)
+
+
+def marked(docs: DataFrame, model: dict) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``; rows and texts as they are."""
+    order = [c for c in docs.columns if c != "text"] + ["text"]
+    kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in order)
+    return _scored(slices(docs.select(*order)).mapInArrow(_judged(model["weights"]), f"{kinds}, best double"), model)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

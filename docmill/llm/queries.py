@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmill.llm.common import table
 from docmill.llm.op10_embedding_dedup import embedding_dedup
@@ -15,6 +15,7 @@ from docmill.llm.op4_licenses import scan_licenses
 from docmill.llm.op5_jaccard_join import jaccard_components
 from docmill.llm.op6_exact_dedup import exact_dedup
 from docmill.llm.op7_warc import warc_round_trip
+from docmill.llm.op8_line_dedup import line_dedup
 from docmill.llm.op9_suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +100,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("op9_suffix_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
