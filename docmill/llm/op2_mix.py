@@ -82,8 +82,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) ->
         "rest": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
     }).withColumn("level", F.col("left") / F.col("rest"))
     fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    # levels never fall along the order, so the first that fits is the smallest
-    return leveled.withColumn("level", F.min(fits).over(everything)).select(
+    whole = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return leveled.withColumn("level", F.first(fits, ignorenulls=True).over(whole)).select(
         "source", "source_size", "kind",
         F.when(F.col("level").isNull() | (F.col("cap") / F.col("weight") <= F.col("level")), F.col("cap").cast("double"))
         .otherwise(F.col("weight") * F.col("level")).alias("target"))

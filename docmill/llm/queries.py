@@ -47,7 +47,9 @@ leveled AS (SELECT *,
   (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))
    / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level FROM weighted
   WINDOW b AS (ORDER BY cap / weight::DOUBLE, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-chosen AS (SELECT *, min(CASE WHEN level <= cap / weight::DOUBLE THEN level END) OVER () AS low FROM leveled),
+chosen AS (SELECT *, first_value(CASE WHEN level <= cap / weight::DOUBLE THEN level END IGNORE NULLS) OVER (
+  ORDER BY cap / weight::DOUBLE, source IS NULL, encode(source)
+  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS low FROM leveled),
 plan AS (SELECT source, source_size, kind,
   CASE WHEN low IS NULL OR cap / weight::DOUBLE <= low THEN cap::DOUBLE ELSE weight * low END AS target FROM chosen),
 queued AS (SELECT doc_id, size, source_size, kind, target, floor(target + 0.5)::BIGINT AS whole,
