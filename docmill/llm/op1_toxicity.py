@@ -6,7 +6,8 @@ allowed: a subsequence that spans ``s`` letters weighs ``DECAY ** s``, up to
 a word and blanks between single letters are skipped beforehand (``i.d-i o t``).
 
 Training is multiple-instance: labels are on documents, evidence on words. Words
-of toxic documents that clean ones lack start as positives; a machine is trained on
+of toxic documents that clean ones lack start as positives, each also with letters
+inserted; a machine is trained on
 Nystroem features of the landmark words, then the best word of each toxic document
 and the worst of each clean one become instances, twice. The decision of a window
 is linear in its subsequences, so the trained machine folds into one weight per
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from docmill.llm.common import slices, store
 
 TRAINING_DOCS = 8000     # bound on labelled rows the machine is fitted on
-POSITIVES, NEGATIVES, LANDMARKS = 400, 8000, 192
+POSITIVES, NEGATIVES, LANDMARKS = 400, 8000, 512
 DECAY, LENGTH, SPAN, WINDOW = 0.8, 4, 6, 10
 CHUNK = 1 << 20          # characters scored at once
 OVERLAP = 64
@@ -118,6 +119,11 @@ def features(word: str) -> dict[int, float]:
     return out
 
 
+def inserted(word: str) -> list[str]:
+    """Spellings with one foreign letter, a fixed choice for each place."""
+    return [word[:k] + chr(97 + (7 * k + len(word)) % 26) + word[k:] for k in range(1, len(word))]
+
+
 def train(words: list[str], labels: list[int], rows: list[float]) -> tuple[np.ndarray, float]:
     """Squared-hinge machine on Nystroem features, folded to a weight per subsequence."""
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
@@ -145,7 +151,7 @@ def train(words: list[str], labels: list[int], rows: list[float]) -> tuple[np.nd
     for sign in (1, -1):
         side = y == sign
         cost[side] *= 1.0 / max(cost[side].sum(), 1e-9)
-    cost *= np.where(y > 0, 50.0, 500.0)
+    cost *= np.where(y > 0, 200.0, 1000.0)
     w, ridge = np.zeros(z.shape[1]), np.ones(z.shape[1])
     ridge[-1] = 1e-6
     for _ in range(30):  # Newton steps on the active set
@@ -251,10 +257,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAINING_DOCS) -> dict
     negatives = {r.word: 1.0 for r in lows}
     if not positives or not negatives:
         return {"weights": np.zeros(1 << 20, np.float32), "scale": 1.0, "shift": -3.0}
+    bent = {v: 0.5 * min(r.bad, 20) / len(r.word) for r in strong for v in inserted(r.word) if v not in negatives}
     for turn in range(3):
-        instances = [*positives, *negatives]
-        weights, bias = train(instances, [1] * len(positives) + [0] * len(negatives),
-                              [*positives.values(), *negatives.values()])
+        instances = [*positives, *bent, *negatives]
+        weights, bias = train(instances, [1] * (len(positives) + len(bent)) + [0] * len(negatives),
+                              [*positives.values(), *bent.values(), *negatives.values()])
         rows = texts.select("part", "toxic", "text").mapInArrow(
             _windows(weights, 1), "part int, toxic int, best double, window string").collect()
         if turn == 2:
