@@ -17,7 +17,7 @@ from docmill.fixed_values import (
     KEYWORDS_KEPT, NO_SUMMARY, SUMMARY_MIN_CHARS, SUMMARY_SENTENCES,
 )
 from docmill.functions.text import (
-    alphabetic_words, bind, clean_text, join_in_order, sentences, words,
+    SPACE, WORD, alphabetic_words, bind, clean_text, join_in_order, sentences, words,
 )
 from docmill.session import broadcast_if_small
 
@@ -117,50 +117,67 @@ def lemmatize(docs: DataFrame, lemmas: DataFrame) -> DataFrame:
 
 
 class Dictionary(NamedTuple):
-    """Entries ``(surface, label)`` of a gazetteer and, if they are few, the words
-    they begin with."""
+    """Entries ``(key, surface, label)`` of a gazetteer, the words they begin with
+    (if they are few) and the number of words of the longest."""
     entries: DataFrame
     first_words: DataFrame | None
+    max_words: int
+
+
+def _separators(text: Column) -> Column:
+    """What stands around the words of a text, whitespace as one space: the part
+    before word ``i`` is entry ``i``."""
+    return F.transform(
+        F.split(text, f"{WORD}+", -1),
+        lambda x: F.when(x.rlike(rf"(?U)^{SPACE}+$"), F.lit(" ")).otherwise(x),
+    )
 
 
 def dictionary(gazetteer: DataFrame) -> Dictionary:
-    """Distinct entries of ``gazetteer (surface, label)``, word sequences separated
-    by one space; marked for broadcast if measured small."""
-    entries = gazetteer.select("surface", "label").distinct()
+    """Distinct entries of ``gazetteer (surface, label)``, marked for broadcast if
+    measured small. An entry is compared by its words and what stands between
+    them; entries without a word are left out."""
+    parts = gazetteer.select(
+        "surface", "label", words(F.col("surface")).alias("w"), _separators(F.col("surface")).alias("s")
+    ).filter(F.size("w") > 0)
+    pieces = F.transform("w", lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.get("s", i), x)))
+    entries = parts.select(F.array_join(pieces, "").alias("key"), "surface", "label").distinct()
+    longest = parts.agg(F.max(F.size("w"))).first()[0] or 1
     marked = broadcast_if_small(entries)
     if marked is entries:
-        return Dictionary(entries, None)
-    first = entries.select(F.substring_index("surface", " ", 1).alias("first")).distinct()
-    return Dictionary(marked, F.broadcast(first))
+        return Dictionary(entries, None, longest)
+    first = parts.select(F.get("w", F.lit(0)).alias("first")).distinct()
+    return Dictionary(marked, F.broadcast(first), longest)
 
 
-def gazetteer_entities(docs: DataFrame, known: Dictionary, max_words: int = 3) -> DataFrame:
+def gazetteer_entities(docs: DataFrame, known: Dictionary) -> DataFrame:
     """``(doc_id, pos, label, surface)`` for every dictionary entry in a text.
 
-    Runs of up to ``max_words`` words are looked up. With a small dictionary,
-    words that begin no entry drop out before the runs are formed; neither step
-    shuffles the words. For texts that are parts of documents, ``doc_id`` may be
-    a struct.
+    Runs of as many words as the longest entry has are looked up, each with what
+    stands between its words: whitespace of any kind matches whitespace, anything
+    else must be equal (``O'Brien``, ``AT&T``; no entry matches across a full stop
+    that it doesn't hold). With a small dictionary, words that begin no entry drop
+    out before the runs are formed; neither step shuffles the words. For texts that
+    are parts of documents, ``doc_id`` may be a struct.
     """
-    following = [f"w{n}" for n in range(1, max_words)]
-    runs = F.arrays_zip("w", *[
-        F.slice("w", F.lit(n + 1), F.size("w")).alias(name) for n, name in enumerate(following, 1)
-    ])
+    after = range(1, known.max_words)
+    shifted = [F.slice(c, F.lit(n + 1), F.greatest(F.size(c), F.lit(1))).alias(f"{c}{n}") for n in after for c in "sw"]
+    runs = F.arrays_zip("w", *shifted)
     # at the end of a text the longer runs are null, and join nothing
     surfaces = F.array("first", *[
-        F.concat("first", *[x for w in following[:n] for x in (F.lit(" "), F.col(w))])
-        for n in range(1, max_words)
+        F.concat("first", *[F.col(f"{c}{n}") for n in range(1, last + 1) for c in "sw"]) for last in after
     ])
     starts = (
-        docs.select("doc_id", words(F.col("text")).alias("w"))
+        docs.select("doc_id", words(F.col("text")).alias("w"), _separators(F.col("text")).alias("s"))
         .select("doc_id", F.posexplode(runs).alias("pos", "run"))
-        .select("doc_id", "pos", F.col("run.w").alias("first"), *[f"run.{w}" for w in following])
+        .select("doc_id", "pos", F.col("run.w").alias("first"), *[f"run.{c}{n}" for n in after for c in "sw"])
     )
     if known.first_words is not None:
         starts = starts.join(known.first_words, "first", "left_semi")
     return (
-        starts.select("doc_id", "pos", F.explode(surfaces).alias("surface"))
-        .join(known.entries, "surface")
+        starts.filter("first is not null")
+        .select("doc_id", "pos", F.explode(surfaces).alias("key"))
+        .join(known.entries, "key")
         .select("doc_id", "pos", "label", "surface")
     )
 

@@ -53,18 +53,3 @@ def broadcast_if_small(
         .first()
     )
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute, by a unique key, an input too small to occupy all cores.
-
-    Applies only below one scan split per core (by Spark's own size estimate), as
-    for a single small file; larger inputs are returned as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df

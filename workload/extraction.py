@@ -85,24 +85,41 @@ def document_clause_keys(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", _joined(keys).alias("clauses_found"))
 
 
-# A dictionary made of words of the benchmark passages, which recur in documents.
-GAZETTEER = f"""gw AS (SELECT item_id, regexp_extract_all(text, '{WORDS}') AS w FROM benchmark),
-g AS (SELECT DISTINCT w[1] || ' ' || w[2] AS surface, CASE item_id % 2 WHEN 0 THEN 'PERSON' ELSE 'ORG' END AS label FROM gw WHERE len(w) > 2
- UNION SELECT w[3], 'ORG' FROM gw WHERE len(w) > 2)"""
-ENTITIES = """dw AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w FROM d),
-dt AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS a, unnest(list_concat(w[2:], [NULL])) AS b FROM dw WHERE len(w) > 0),
-e AS (SELECT doc_id, pos, label, surface FROM dt JOIN g ON a = surface
- UNION ALL SELECT doc_id, pos, label, surface FROM dt JOIN g ON a || ' ' || b = surface)"""
+# A dictionary of all words of the benchmark passages, which recur in documents, cut
+# into runs of one to six words; runs of one only if the word is long.
+_RUNS = {0: 1, 1: 2, 3: 3, 6: 4, 10: 5, 15: 6}
+
+
+def _run(n: int, at: str) -> str:
+    return " || ".join([f"w[{at} + 1]"] + [f"s[{at} + {k + 1}] || w[{at} + {k + 1}]" for k in range(1, n)])
+
+
+def _words_sql(x: str) -> str:
+    """Words, and what stands before each, whitespace as one space."""
+    return (f"regexp_extract_all({x}, '{WORDS}') AS w, list_transform(string_split_regex({x}, '{WORDS}'), "
+            f"lambda x: CASE WHEN regexp_full_match(x, '{WS}+') THEN ' ' ELSE x END) AS s")
+
+
+GAZETTEER = f"""gw AS (SELECT item_id, {_words_sql('text')} FROM benchmark),
+gp AS (SELECT item_id, w, s, unnest(range(len(w))) AS o FROM gw),
+g AS (SELECT DISTINCT surface, CASE (item_id + o) % 2 WHEN 0 THEN 'PERSON' ELSE 'ORG' END AS label FROM (
+ SELECT item_id, o, CASE o % 21 {' '.join(f"WHEN {k} THEN {_run(n, 'o')}" for k, n in _RUNS.items())} END AS surface,
+  o % 21 = 0 AS single FROM gp) WHERE surface IS NOT NULL AND (NOT single OR length(surface) > 7))"""
+ENTITIES = f"""dw AS (SELECT doc_id, {_words_sql('text')} FROM d),
+dt AS (SELECT doc_id, unnest(list_transform(range(len(w)), lambda p: {{'pos': p, 'keys': [{', '.join(_run(n, 'p') for n in range(1, 7))}]}})) AS r FROM dw),
+e AS (SELECT doc_id, pos, label, surface FROM (SELECT doc_id, r.pos AS pos, unnest(r.keys) AS k FROM dt) JOIN g ON k = surface)"""
 
 
 def gazetteer(spark, sf_dir):
-    w = table(spark, sf_dir, "benchmark").select(
-        "item_id", words(F.col("text")).alias("w")
-    ).filter(F.size("w") > 2)
-    label = F.when(F.col("item_id") % 2 == 0, "PERSON").otherwise("ORG")
-    pair = F.struct(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("surface"), label.alias("label"))
-    single = F.struct(F.col("w")[2].alias("surface"), F.lit("ORG").alias("label"))
-    return w.select(F.inline(F.array(pair, single)))
+    runs = table(spark, sf_dir, "benchmark").select(
+        "item_id", words(F.col("text")).alias("w"), lexical._separators(F.col("text")).alias("s")
+    ).select("item_id", "w", "s", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("o"))
+    cut = F.expr("case o % 21 " + " ".join(
+        f"when {k} then " + " || ".join(["w[o]"] + [f"get(s, o + {j}) || get(w, o + {j})" for j in range(1, n)])
+        for k, n in _RUNS.items()) + " end")
+    return runs.filter(F.size("w") > 0).select(
+        cut.alias("surface"), F.expr("case (item_id + o) % 2 when 0 then 'PERSON' else 'ORG' end").alias("label"), "o"
+    ).filter("surface is not null and (o % 21 <> 0 or length(surface) > 7)").select("surface", "label")
 
 
 def known(spark, sf_dir):
@@ -112,7 +129,7 @@ def known(spark, sf_dir):
 @query("ex8_gazetteer_entities", f"WITH {DOCS}, {GAZETTEER}, {ENTITIES} SELECT * FROM e")
 def gazetteer_entities(spark, sf_dir):
     return lexical.gazetteer_entities(
-        documents(spark, sf_dir), known(spark, sf_dir), max_words=2
+        documents(spark, sf_dir), known(spark, sf_dir)
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -165,7 +182,7 @@ s AS (SELECT *, least(100, least(40, 2 * total_names) + least(30, 4 * total_clau
 def scored(spark, sf_dir):
     docs = documents(spark, sf_dir)
     names = lexical.entity_lists(
-        lexical.gazetteer_entities(docs, known(spark, sf_dir), max_words=2)
+        lexical.gazetteer_entities(docs, known(spark, sf_dir))
     ).select("doc_id", "names")
     named = docs.join(names, "doc_id", "left").withColumn(
         "names", F.coalesce("names", F.expr("cast(array() as array<string>)")))

@@ -62,6 +62,10 @@ def heuristic_top_two(spark, sf_dir):
 
 # --- The model hook: a stand-in model ----------------------------------------
 
+def sql_digest(x: str) -> str:
+    return f"'<' || length({x}) || ' ' || md5({x}) || '>'"
+
+
 def stand_in(answer):
     """A model factory. Its functions are nested, so that they travel to the
     workers by value and need no installed package there."""
@@ -72,13 +76,27 @@ def stand_in(answer):
 
 def failing():
     def answer(text):
+        import hashlib
         if "Termination" in text:
             raise ValueError("refused")
-        return f"<{text[:30]}>"
+        return f"<{len(text)} {hashlib.md5(text.encode()).hexdigest()}>"
+    return stand_in(answer)
+
+
+def digesting():
+    def answer(text):
+        import hashlib
+        return f"<{len(text)} {hashlib.md5(text.encode()).hexdigest()}>"
     return stand_in(answer)
 
 
-first_words = stand_in(lambda text: f"<{text[:30]}>")
+def unloadable():
+    def factory():
+        raise OSError("no weights")
+    return factory
+
+
+whole_digest = digesting()
 failing_on_termination = failing()
 answer_length = stand_in(lambda text, question: f"{len(text)} of {question}")
 
@@ -94,13 +112,13 @@ def chunks(spark, sf_dir):
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-MODEL = f"""{CHUNKS}, ms AS (SELECT doc_id, string_agg('<' || substring(chunk, 1, 30) || '>', ' ' ORDER BY i) AS summary,
+MODEL = f"""{CHUNKS}, ms AS (SELECT doc_id, string_agg({sql_digest('chunk')}, ' ' ORDER BY i) AS summary,
  max(CASE WHEN contains(chunk, 'Termination') THEN 1 ELSE 0 END) AS failed FROM ch GROUP BY doc_id)"""
 
 
 @query("sm3_model_summary", f"WITH {DOCS}, {MODEL} SELECT doc_id, summary AS model_summary FROM ms")
 def model_summary(spark, sf_dir):
-    return summaries.model_summary(documents(spark, sf_dir), first_words)
+    return summaries.model_summary(documents(spark, sf_dir), whole_digest)
 
 
 @query("sm4_summary_with_fallback", f"""WITH {DOCS}, {MODEL}, {heuristic_sql(5)}
@@ -109,14 +127,19 @@ def summary_with_fallback(spark, sf_dir):
     return summaries.summarize(documents(spark, sf_dir), failing_on_termination)
 
 
+@query("sm4_model_that_cannot_load", f"WITH {DOCS}, {heuristic_sql(5)} SELECT doc_id, summary FROM hs")
+def summary_without_model(spark, sf_dir):
+    return summaries.summarize(documents(spark, sf_dir), unloadable())
+
+
 SPARSE = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(10) || '  ' ELSE text END"
 
 
-@query("sm5_guarded_summary", f"""SELECT doc_id, CASE WHEN {sql_not_blank(SPARSE)} THEN '<' || substring({SPARSE}, 1, 30) || '>'
+@query("sm5_guarded_summary", f"""SELECT doc_id, CASE WHEN {sql_not_blank(SPARSE)} THEN {sql_digest(SPARSE)}
  ELSE '{NOTHING_TO_SUMMARIZE}' END AS summary FROM documents""")
 def guarded_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(SPARSE).alias("text"))
-    return summaries.guarded_summary(docs, first_words).select("doc_id", "summary")
+    return summaries.guarded_summary(docs, whole_digest).select("doc_id", "summary")
 
 
 QUESTION = "CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN role END"
@@ -129,7 +152,7 @@ def guarded_answer(spark, sf_dir):
     return summaries.guarded_answer(asked, answer_length).select("conv_id", "turn", "answer")
 
 
-@query("ud1_annotate", f"""WITH {DOCS} SELECT doc_id, CASE WHEN NOT contains(text, 'Termination') THEN '<' || substring(text, 1, 30) || '>' END AS value,
+@query("ud1_annotate", f"""WITH {DOCS} SELECT doc_id, CASE WHEN NOT contains(text, 'Termination') THEN {sql_digest('text')} END AS value,
  CASE WHEN contains(text, 'Termination') THEN 'ValueError: refused' END AS error FROM d""")
 def annotated(spark, sf_dir):
     return annotate(
@@ -139,7 +162,9 @@ def annotated(spark, sf_dir):
 
 
 # Requests: each conversation turn asks for a document or brings its own text.
-REQUEST_DOC = "CASE WHEN turn % 3 = 0 THEN cast(conv_id % 50 AS bigint) WHEN turn % 3 = 1 THEN conv_id + 1000000 END"
+# One document is asked for by a third of them, the others by all over the table.
+REQUEST_DOC = """CASE WHEN turn % 4 = 3 THEN cast(NULL AS bigint) WHEN conv_id % 3 = 0 THEN cast(7 AS bigint)
+ WHEN turn % 4 = 2 THEN conv_id + 1000000000 ELSE conv_id * 10 + turn END"""
 REQUESTS = f"""q AS (SELECT cast(conv_id AS string) || '-' || cast(turn AS string) AS request_id, {REQUEST_DOC} AS ref,
  CASE WHEN conv_id % 2 = 0 THEN text END AS text FROM conversations)"""
 
