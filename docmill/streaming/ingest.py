@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,15 +33,22 @@ def ingest(
 ) -> StreamingQuery:
     """Upsert everything that has arrived, then stop.
 
-    A batch is written under its own id, so a batch repeated after a failure
-    replaces itself.
+    A batch is written under the query's id, which its checkpoint keeps, and its
+    own, so a batch repeated after a failure replaces itself, and a query with a new
+    checkpoint replaces nothing.
     """
+    started, query = threading.Event(), []
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.upsert(prepare(batch), root, batch_id)
+        started.wait()
+        store.upsert(prepare(batch), root, batch_id, writer=f"stream-{query[0].id}")
 
-    return (
+    running = (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    query.append(running)
+    started.set()
+    return running

@@ -86,6 +86,23 @@ def test_gazetteer(spark, small, monkeypatch):
     assert page.names == ["Ann", "Ann Bell", "Ann", "Ann", "Ann Bell"]
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_gazetteer_takes_any_length_and_spelling(spark, small, monkeypatch):
+    df = spark.createDataFrame(
+        [(1, "The Bank of New York Mellon hired O'Brien and AT&T. Ann. Bell rang Ann\n\tBell"),
+         (2, "one two three four five six seven Acme Inc."), (3, None), (4, "Ann Bell")], "doc_id int, text string")
+    entries = spark.createDataFrame(
+        [("Bank of New York Mellon", "ORG"), ("O'Brien", "PERSON"), ("AT&T", "ORG"), ("Ann Bell", "PERSON"),
+         ("two three four five six seven", "ORG"), ("Acme  Inc.", "ORG"), ("...", "ORG"), (None, "ORG")],
+        "surface string, label string")
+    if not small:
+        monkeypatch.setattr(lexical, "broadcast_if_small", lambda d: d)
+    found = lexical.gazetteer_entities(df, lexical.dictionary(entries))
+    assert sorted((r.doc_id, r.pos, r.surface) for r in found.collect()) == [
+        (1, 1, "Bank of New York Mellon"), (1, 7, "O'Brien"), (1, 10, "AT&T"), (1, 15, "Ann Bell"),
+        (2, 1, "two three four five six seven"), (2, 7, "Acme  Inc."), (4, 0, "Ann Bell")]
+
+
 def test_embedding_and_chunks(spark, docs):
     df, texts = docs
     long = "".join(chr(97 + i % 26) for i in range(2701))

@@ -71,6 +71,18 @@ def test_annotator_demands_one_value_per_row(spark):
     assert [r.v for r in rows] == ["only", "only"]  # row by row, each call gives one
 
 
+def test_annotator_keeps_types_and_survives_a_model_that_cannot_load(spark):
+    df = spark.createDataFrame([(5, "old"), (None, "old")], "x int, error string").coalesce(1)
+    rows = annotate(df, lambda: lambda rows: [repr(x) for x, in rows], ["x"], "v string").collect()
+    assert [(r.x, r.v, r.error) for r in rows] == [(5, "5", None), (None, "None", None)]
+
+    def broken():
+        raise OSError("no weights")
+
+    rows = annotate(df, broken, ["x"], "v string", skip_null=True, error="failure").collect()
+    assert [(r.v, r.failure, r.error) for r in rows] == [(None, "OSError: no weights", "old"), (None, None, "old")]
+
+
 def test_summary_falls_back_when_the_model_fails_on_a_chunk(spark):
     text = "First one here. " * 100
     df = spark.createDataFrame([(1, text), (2, "Fine text.")], "doc_id int, text string")
