@@ -6,8 +6,10 @@ again, until each document has one name. Names are given to whole values, never
 hashes, so two documents share an identity exactly if their texts are equal.
 
 Only DataFrame functions. Distinct blocks and pairs are pre-aggregated in each
-task, and names come back by a join whose hot keys adaptive execution splits, so a
-block that a third of all documents hold is no single task.
+task. Blocks with over a thousandth of all rows, under a thousand of them, are named
+first and reach their rows by broadcast; the other joins are of stored tables, whose
+hot keys adaptive execution splits. So a block or text that a third of all documents
+hold is no single task.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from docmill.llm.common import store
 
 BLOCK_BYTES = 4096
+COMMON_SHARE = 1000
 
 
 def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -37,7 +40,12 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         )).alias("i", "block"))
     blocks = blocks.withColumns({
         c: F.when(F.col("i") == 0, F.col(c)) for c in ("doc_id", "text_sha256")})
-    named = store(blocks.join(_names(blocks, ["block"]), "block").drop("block"), "block-names")
+    common = F.broadcast(_common_names(blocks))
+    apart = blocks.join(common, "block", "left")
+    rare = apart.where("name is null").drop("name")
+    named = store(
+        apart.where("name is not null").drop("block").unionByName(
+            rare.join(_names(rare, ["block"]), "block").drop("block")), "block-names")
 
     top = named.where("i = 0").select("row", "doc_id", "text_sha256", "n", "name")
     identities = top.where("n = 1").select("row", F.lit(0).alias("level"), "name")
@@ -49,7 +57,8 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
             "row", F.expr("i div 2").cast("int").alias("i"), F.ceil(F.col("n") / 2).cast("int").alias("n")
         ).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("left"),
               F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"))
-        current = store(pairs.join(_names(pairs, ["left", "right"]), ["left", "right"])
+        names = store(_names(pairs, ["left", "right"]), "names")
+        current = store(pairs.join(names, ["left", "right"])
                         .select("row", "n", "i", "name"), "pair-names")
         identities = identities.union(
             current.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
@@ -57,6 +66,16 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     return top.drop("n", "name").join(identities, "row")
 
 
+def _common_names(blocks: DataFrame) -> DataFrame:
+    """Names, below zero, of the blocks with over a thousandth of all rows: under a
+    thousand (more only by hash collisions), found by counting hashes."""
+    counts = blocks.groupBy(F.xxhash64("block").alias("hash")).count()
+    total = blocks.select("n").where("i = 0").agg(F.sum("n")).first()[0] or 0
+    hashes = counts.where(F.col("count") * COMMON_SHARE > total).select("hash")
+    found = blocks.select("block", F.xxhash64("block").alias("hash")).join(F.broadcast(hashes), "hash", "left_semi")
+    return store(_names(found, ["block"]).withColumn("name", -1 - F.col("name")), "common-names")
+
+
 def _names(df: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct values of ``keys`` with a name: partition and rank in its sorted order."""
     return (df.select(*keys).distinct().sortWithinPartitions(*keys)
@@ -70,8 +89,8 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     smallest; of fully equal rows any one). An empty table gives no rows.
     """
     named = store(name_documents(docs, block_bytes), "identities")
-    groups = named.groupBy("level", "name").agg(
-        F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = store(named.groupBy("level", "name").agg(
+        F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
