@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from docmill.llm.common import slices
+from docmill.llm.common import slices, store
 from docmill.session import work_dir
 
 CHUNK_BYTES = 256 << 10
@@ -115,8 +115,9 @@ def chunk_records(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    firsts = (rows.where(F.octet_length("html") >= MIN_REVISIT_BYTES).groupBy("digest")
-              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    firsts = store(
+        rows.where(F.octet_length("html") >= MIN_REVISIT_BYTES).groupBy("digest")
+        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first-pages")
     # an unmatched or first record refers to nothing; hot digests are split by the skew join
     roles = rows.join(firsts, "digest", "left").select(
         F.col("page_id").cast("string"), "url", "html",
