@@ -1,9 +1,9 @@
 """Word-level operators: keywords, lemmas, dictionary entities, frequency summary.
 
-Every operator here shuffles the texts once, by ``doc_id``, before splitting
-them into words. All later grouping and ranking is within a document, so it
-reuses that partitioning; grouping the words themselves would shuffle several
-times the volume.
+Counts and keywords of a text are computed inside its row. Operators that look
+words up in a table of lemmas, and the frequency summary, shuffle the texts once, by
+``doc_id``, before splitting them into words; all later grouping and ranking is
+within a document and reuses that partitioning.
 """
 
 from __future__ import annotations
@@ -55,13 +55,36 @@ def _lemma_of(tokens: DataFrame, form: str, lemmas: DataFrame | None) -> DataFra
     )
 
 
+def _keywords(text: Column, stop_words: Sequence[str]) -> Column:
+    """Alphabetic words in lower case, with their place among all alphabetic words."""
+    placed = F.transform(alphabetic_words(text), lambda x, i: F.struct(F.lower(x).alias("lemma"), i.alias("pos")))
+    return F.filter(placed, lambda x: ~x["lemma"].isin(*stop_words))
+
+
+def _counted(text: Column, stop_words: Sequence[str]) -> Column:
+    """``array<struct<lemma, n, first_pos>>`` of one text. Sorting puts equal words
+    side by side, so the counts are the distances between the places where the word
+    changes; no other row is needed."""
+    def runs(ordered: Column) -> Column:
+        changes = F.filter(
+            F.transform(ordered, lambda x, i: F.when(
+                (i == 0) | (F.get(ordered, i - 1)["lemma"] != x["lemma"]), i)),
+            lambda i: i.isNotNull())
+        return bind(changes, lambda at: F.transform(at, lambda start, j: F.struct(
+            F.get(ordered, start)["lemma"].alias("lemma"),
+            (F.coalesce(F.get(at, j + 1), F.size(ordered)) - start).cast("bigint").alias("n"),
+            F.get(ordered, start)["pos"].alias("first_pos"))))
+
+    return bind(F.array_sort(_keywords(text, stop_words)), runs)
+
+
 def keyword_tokens(
     docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None
 ) -> DataFrame:
     """``(doc_id, pos, lemma)``: alphabetic, no stop word, lower case."""
+    source = docs if lemmas is None else _by_document(docs)
     tokens = (
-        _by_document(docs)
-        .select("doc_id", F.posexplode(alphabetic_words(F.col("text"))).alias("pos", "word"))
+        source.select("doc_id", F.posexplode(alphabetic_words(F.col("text"))).alias("pos", "word"))
         .select("doc_id", "pos", F.lower("word").alias("lemma"))
         .filter(~F.col("lemma").isin(*stop_words))
     )
@@ -71,7 +94,9 @@ def keyword_tokens(
 def token_counts(
     docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None
 ) -> DataFrame:
-    """``(doc_id, lemma, n, first_pos)``."""
+    """``(doc_id, lemma, n, first_pos)``; without a dictionary nothing is shuffled."""
+    if lemmas is None:
+        return docs.select("doc_id", F.inline(_counted(F.col("text"), stop_words)))
     return keyword_tokens(docs, stop_words, lemmas).groupBy("doc_id", "lemma").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos")
     )
@@ -90,6 +115,12 @@ def top_keywords(
     lemmas: DataFrame | None = None,
 ) -> DataFrame:
     """``(doc_id, rank, lemma, n)``: most common lemmas, ties by first occurrence."""
+    if lemmas is None:
+        ordered = F.array_sort(F.transform(
+            _counted(F.col("text"), stop_words),
+            lambda x: F.struct((-x["n"]).alias("less"), x["first_pos"].alias("pos"), x["lemma"].alias("lemma"))))
+        return docs.select("doc_id", F.posexplode(F.slice(ordered, 1, k)).alias("i", "x")).select(
+            "doc_id", (F.col("i") + 1).alias("rank"), "x.lemma", (-F.col("x.less")).alias("n"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos")
     return (
         token_counts(docs, stop_words, lemmas)

@@ -41,7 +41,22 @@ def test_top_k_and_pushdown(spark, sf):
     assert "EqualTo(doc_id,7)" in plan_of(QUERIES["pf2_by_id"](spark, sf))
     assert "EqualNullSafe(lang,en)" in plan_of(QUERIES["pf1_find"](spark, sf))
     assert "ReadSchema: struct<doc_id:bigint>" in plan_of(QUERIES["io1_file_type"](spark, sf))
-    assert "WindowGroupLimit" in plan_of(QUERIES["tk1_top_keywords"](spark, sf))
+    assert "WindowGroupLimit" in plan_of(QUERIES["tk1_top_keywords_lemmas"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["tk1_top_keywords", "ag7_token_counts", "tx3_keyword_tokens"])
+def test_words_are_counted_inside_rows(spark, sf, name):
+    assert "Exchange" not in plan_of(QUERIES[name](spark, sf))
+
+
+def test_plans_on_many_files(spark, sf, tmp_path):
+    """The plan of a query doesn't depend on how small its input is."""
+    for table in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(6).write.parquet(f"{tmp_path}/{table}.parquet")
+    for name in ("ex1_emails", "tk1_top_keywords", "sm1_frequency_summary"):
+        def shape(folder):
+            return re.findall(r"\b(?:Exchange|SortMergeJoin|BroadcastHashJoin|Window|Generate)\b", plan_of(QUERIES[name](spark, folder)))
+        assert shape(str(tmp_path)) == shape(sf), name
 
 
 def test_word_operators_share_one_text_shuffle(spark, sf):
