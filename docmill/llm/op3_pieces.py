@@ -82,7 +82,14 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         if len(self.bytes) < 256:
             raise ValueError("the model has no byte fallback")
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p))}
+        self.letters = {p for p in self.ids if len(p) == 1}
+        # nodes: the piece that ends here or -1, and the arcs by letter
+        self.trie: list = [-1, {}]
+        for name, i in self.ids.items():
+            node = self.trie
+            for c in name:
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = i
         self.output = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL
                        else b"" for p, _, k in pieces]
         inner = {c for p in self.ids if len(p) > 1 for c in p}
@@ -92,7 +99,8 @@ class Transducer:
         self.words = re.compile(
             f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + ("|\n" if alone else "") if split else "(?s).+")
         self.worst = max(self.weights[i] for i in self.ids.values()) + 10 if self.ids else 10
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, float] = {}
+        self.schedules: dict[int, list | None] = {}
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -100,60 +108,140 @@ class Transducer:
         text = text.replace(" ", SPACE)
         return SPACE + text if text and self.prefix else text
 
-    def merge(self, text: str) -> list[str]:
-        """Merge the best adjacent pair, leftmost first, until none is a piece."""
-        parts = list(text)
-        while True:
+    def schedule(self, piece: int) -> list[tuple[float, str, str]] | None:
+        """Merges that build a piece from its letters: weight, first and last part after it.
+
+        Starts with the letters themselves; None if merging gives something else.
+        """
+        parts, weights = list(self.names[piece]), self.weights
+        out = [(0.0, parts[0], parts[-1])]
+        while len(parts) > 1:
             best, at = math.inf, -1
             for k in range(len(parts) - 1):
                 i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and self.weights[i] < best:
-                    best, at = self.weights[i], k
+                if i is not None and weights[i] < best:
+                    best, at = weights[i], k
             if at < 0:
-                return parts
+                return None
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            out.append((best, parts[0], parts[-1]))
+        return out
+
+    def stays_apart(self, last: int, piece: int) -> bool:
+        """Whether merging the letters of both pieces ends with the two of them.
+
+        Each side merges by its own schedule, the better weight first (left on ties),
+        until a merge across the boundary would come before both next ones.
+        """
+        sides = []
+        for p in (last, piece):
+            if p >= 0 and p not in self.schedules:
+                self.schedules[p] = self.schedule(p)
+            sides.append(self.schedules[p] if p >= 0 else None)
+        left, right = sides
+        if right is None or last >= 0 and left is None:
+            return False
+        if last < 0:
+            return True
+        x = y = 0
+        while True:
+            next_left = left[x + 1][0] if x + 1 < len(left) else math.inf
+            next_right = right[y + 1][0] if y + 1 < len(right) else math.inf
+            across = self.ids.get(left[x][2] + right[y][1])
+            if across is not None and self.weights[across] < next_left and self.weights[across] <= next_right:
+                return False
+            if next_left == next_right == math.inf:
+                return True
+            if next_left <= next_right:
+                x += 1
+            else:
+                y += 1
 
     def arc(self, last: int, piece: int) -> float:
         """Weight of an arc that emits ``piece`` from the state ``last`` (-1: none or a byte)."""
         if self.kind == UNIGRAM:
             return self.weights[piece]
-        known = self.apart.get((last, piece))
+        key = last * len(self.names) + piece
+        known = self.apart.get(key)
         if known is None:
             if len(self.apart) > MEMO:
                 self.apart.clear()
-            left = self.names[last] if last >= 0 else ""
-            parts = [p for p in (left, self.names[piece]) if p]
-            known = self.apart[last, piece] = self.merge("".join(parts)) == parts
-        return 0.0 if known else math.inf
+            known = self.apart[key] = 0.0 if self.stays_apart(last, piece) else math.inf
+        return known
 
     def shortest(self, word: str) -> list[int]:
         """Ids on the least path through one normalised word."""
-        n, ids, starts = len(word), self.ids, self.starts
-        # per place: weight, state, ids of the last arc, where it began
-        best: list = [None] * (n + 1)
-        best[0] = (0.0, -1, (), 0)
+        places = self.finite(word) if self.kind == BPE else self.least(word)
+        out: list[int] = []
+        for i, piece in places:
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.bytes[b] for b in word[i].encode("utf-8", "replace")]
+        return out
+
+    def least(self, word: str) -> list[tuple[int, int]]:
+        """Places and pieces (-1: bytes) of the least path, by forward relaxation."""
+        n = len(word)
+        weight, state, came = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        weight[0] = 0.0
         for i in range(n):
-            if best[i] is None:
+            here, last, node = weight[i], state[i], self.trie
+            if here == math.inf:
                 continue
-            weight, last = best[i][:2]
-            for j in range(i + 1, n + 1):
-                part = word[i:j]
-                piece = ids.get(part)
-                if piece is not None:
-                    total = weight + self.arc(last, piece)
-                    if total < (best[j][0] if best[j] else math.inf):
-                        best[j] = (total, piece, (piece,), i)
-                if part not in starts:
+            for j in range(i, n):
+                node = node[1].get(word[j])
+                if node is None:
                     break
-            if word[i] not in ids:
-                total = weight + (self.worst if self.kind == UNIGRAM else 0.0)
-                if total < (best[i + 1][0] if best[i + 1] else math.inf):
-                    best[i + 1] = (total, -1, tuple(self.bytes[b] for b in word[i].encode("utf-8", "replace")), i)
-        out: list[int] = []
+                if node[0] >= 0 and (total := here + self.arc(last, node[0])) < weight[j + 1]:
+                    weight[j + 1], state[j + 1], came[j + 1] = total, node[0], i
+            if word[i] not in self.letters and here + self.worst < weight[i + 1]:
+                weight[i + 1], state[i + 1], came[i + 1] = here + self.worst, -1, i
+        out = []
         while n > 0:
-            out[:0] = best[n][2]
-            n = best[n][3]
-        return out
+            out.append((came[n], state[n]))
+            n = came[n]
+        return out[::-1]
+
+    def finite(self, word: str) -> list[tuple[int, int]]:
+        """The one path of finite weight, depth first, the longest arcs first.
+
+        At most one finite path leads to each place, so a place from which none goes
+        on is closed for good, and the search is linear in the arcs.
+        """
+        n, root, names, known = len(word), self.trie, len(self.names), self.apart.get
+        closed: set[int] = set()
+        path: list[tuple[int, int, list]] = []   # place, piece, shorter arcs
+        i, last = 0, -1
+        arcs = None
+        while i < n:
+            if arcs is None:
+                arcs, node = [], root
+                for j in range(i, n):
+                    node = node[1].get(word[j])
+                    if node is None:
+                        break
+                    if node[0] >= 0:
+                        arcs.append((j + 1, node[0]))
+                if not arcs and word[i] not in self.letters:
+                    arcs.append((i + 1, -1))
+            base = last * names
+            while arcs:
+                end, piece = arcs.pop()
+                if end in closed:
+                    continue
+                if piece >= 0:
+                    arc = known(base + piece)
+                    if (self.arc(last, piece) if arc is None else arc) != 0.0:
+                        continue
+                path.append((i, piece, arcs))
+                i, last, arcs = end, piece, None
+                break
+            else:
+                closed.add(i)
+                i, _, arcs = path.pop()
+                last = path[-1][1] if path else -1
+        return [(i, piece) for i, piece, _ in path]
 
     def encode(self, text: str, memo: dict[str, list[int]]) -> list[int]:
         out: list[int] = []
