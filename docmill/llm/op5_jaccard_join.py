@@ -8,13 +8,14 @@ the places of the shared token (positional) and the counts of tokens in fixed ra
 (suffix filter) rule most pairs out; the rest are counted exactly, once per pair.
 
 Documents with equal sets are one class. Links matter only through the components,
-so classes meet in two rounds: first each meets the neighbours and the first of its
-token's run, a number of pairs linear in the rows; then, exhaustively, all pairs
-that share a token but aren't connected yet. A group of near copies collapses in
-the first round and leaves no pairs for the second; every link between classes in
-different components is still checked. Rows are range-partitioned by token, size
-and class, so a token in a third of all sets spreads over many partitions, whose
-edges are compared too.
+so classes meet in rounds: first each meets the hub it shares the most tokens with,
+a hub being the class of a token's run with the most shared tokens (the text that
+near copies were made from has no tokens of its own); then each component the hub
+of its tokens' largest component; at last, exhaustively, all pairs that share a
+token but aren't connected. Groups of near copies collapse before that and leave
+few pairs; every link between different components is still checked. Rows are
+range-partitioned by token, size and class, so a token in a third of all sets
+spreads over many partitions.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from docmill.llm.common import components, slices, store
 from docmill.llm.op9_suffix_dedup import BASE, _powers, mixed
 
 WORDS, PERCENT = 3, 90
-BUCKET_BITS, SLICES, RANGES = 16, 64, 16
+BUCKET_BITS, SLICES, RANGES = 16, 64, 128
 PIECE = 1 << 20
+BLOCK = 1024      # rows of one token that are compared in one place
 PER_TASK = 512    # pairs of one class that are verified in one place
 
 
@@ -144,61 +146,25 @@ def _sets(words: int, percent: int, ranks: np.ndarray):
                 prefix.append(own)
                 ends.append(ends[-1] + len(own))
                 spread = np.bincount((tokens & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES)
-                ranges.append(spread.astype(np.int32))
+                ranges.append(np.minimum(spread, 32767).astype(np.int16))
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat.view(np.int64))),
-                 pa.array(ranges, pa.list_(pa.int32()))],
+                 pa.array(ranges, pa.list_(pa.int16()))],
                 names=["doc_id", "twin", "n", "class", "prefix", "ranges"])
     return run
 
 
-def may_link(n1, p1, n2, p2, percent: int):
-    """Length and positional filters for sets of sizes n with a shared token at places p."""
-    long_enough = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
-    most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1)
-    return long_enough & ((100 + percent) * most >= percent * (n1 + n2))
-
-
-def _runs(percent: int):
-    """Sort one token range: rows of shared tokens, and each row with its neighbour and hub."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(b) if (b := list(batches)) else None
-        if rows is None or not rows.num_rows:
-            return
-        token, n, cls, at = (rows.column(c).to_numpy() for c in ("token", "n", "class", "at"))
-        order = np.lexsort((cls, n, token))
-        token, n, cls, at = token[order], n[order], cls[order], at[order]
-        equal = np.concatenate([[False], token[1:] == token[:-1], [False]])
-        shared = equal[:-1] | equal[1:]
-        edge = np.zeros(len(token), bool)
-        edge[[0, -1]] = True
-        some = np.flatnonzero(shared | edge)
-        yield from _pairs_batch(token[some], n[some], cls[some], at[some], edge[some], None, None)
-        # a hub serves the sizes that can still reach it
-        here, hub, first = np.flatnonzero(equal[:-1]), np.arange(len(token)), 0
-        for k in here.tolist():
-            first = hub[k - 1]
-            hub[k] = first if 100 * n[first] >= percent * n[k] else k
-        far = here[(hub[here] != here - 1) & (hub[here] != here)]
-        left, right = np.concatenate([here - 1, hub[far]]), np.concatenate([here, far])
-        keep = (cls[left] != cls[right]) & may_link(n[left], at[left], n[right], at[right], percent)
-        a, b = cls[left[keep]], cls[right[keep]]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        if len(low):
-            yield from _pairs_batch(np.ones(len(low), np.int64), None, None, None, None, low, high)
-    return run
-
-
-def _pairs_batch(token, n, cls, at, edge, a, b) -> Iterator[pa.RecordBatch]:
-    def column(x, kind):
-        return pa.nulls(len(token), kind) if x is None else pa.array(x, kind)
-    whole = pa.Table.from_arrays(
-        [pa.array(token), column(n, pa.int64()), column(cls, pa.int64()), column(at, pa.int64()),
-         column(edge, pa.bool_()), column(a, pa.int64()), column(b, pa.int64())],
-        names=["token", "n", "class", "at", "edge", "a", "b"])
-    yield from whole.to_batches(max_chunksize=1 << 16)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one token range whose token another set has, and the two at the edges."""
+    rows = pa.Table.from_batches(b) if (b := list(batches)) else None
+    if rows is None or not rows.num_rows:
+        return
+    order = np.argsort(rows.column("token").to_numpy(), kind="stable")
+    token = rows.column("token").to_numpy()[order]
+    equal = np.concatenate([[True], token[1:] == token[:-1], [True]])
+    yield from rows.take(pa.array(order[equal[:-1] | equal[1:]])).combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +194,96 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _block_pairs(percent: int):
+    """Runs of rows sorted by ``token, low, high``: pairs that pass all filters."""
+    def filtered(rows: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, at, part = rows["n"], rows["at"], rows["part"]
+        total = n[a] + n[b]
+        most = np.minimum(at[a], at[b]) + 1 + np.minimum(n[a] - at[a], n[b] - at[b]) - 1
+        keep = (part[a] != part[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) \
+            & ((100 + percent) * most >= percent * total)
+        a, b, total = a[keep], b[keep], total[keep]
+        out = np.zeros(len(a), bool)
+        for k in range(0, len(a), 1 << 14):
+            x, y = rows["ranges"][a[k:k + (1 << 14)]], rows["ranges"][b[k:k + (1 << 14)]]
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            some = total[k:k + (1 << 14)]
+            out[k:k + (1 << 14)] = (100 + percent) * (some - apart) >= 2 * percent * some
+        return a[out], b[out]
+
+    def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = {c: table.column(c).to_numpy() for c in ("token", "low", "high", "block", "class", "n", "at", "part")}
+        rows["ranges"] = table.column("ranges").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        change = np.zeros(table.num_rows, bool)
+        for c in ("token", "low", "high"):
+            change[1:] |= rows[c][1:] != rows[c][:-1]
+        change[0] = True
+        start = np.flatnonzero(change)
+        left, right, held = [], [], 0
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for s, e in zip(start.tolist(), np.append(start[1:], table.num_rows).tolist()):
+            low, high = rows["low"][s], rows["high"][s]
+            if low == high:
+                a, b = np.triu_indices(e - s, 1)
+                left.append(a + s)
+                right.append(b + s)
+            else:
+                one, two = s + np.flatnonzero(rows["block"][s:e] == low), s + np.flatnonzero(rows["block"][s:e] == high)
+                left.append(np.repeat(one, len(two)))
+                right.append(np.tile(two, len(one)))
+            held += len(left[-1])
+            if held > 1 << 18:
+                found.append(filtered(rows, np.concatenate(left), np.concatenate(right)))
+                left, right, held = [], [], 0
+        if left:
+            found.append(filtered(rows, np.concatenate(left), np.concatenate(right)))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 2
+        one, two = rows["class"][a], rows["class"][b]
+        if len(one):
+            both = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 1 << 13:
+                continue
+            table = pa.Table.from_batches(held)
+            keys = [table.column(c).to_numpy() for c in ("token", "low", "high")]
+            last = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            if len(last):      # the last run may go on
+                yield from pairs_of(table.slice(0, int(last[-1]) + 1))
+                table = table.slice(int(last[-1]) + 1)
+            held = table.to_batches()
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
+    return run
+
+
+def _apart(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one token in different parts, by blocks against blocks.
+
+    Rows outside the token's largest part meet each other and all rows of it; a
+    token with more than ``BLOCK`` rows on a side takes several pairs of blocks.
+    """
+    minor = F.col("part") != F.col("main")
+    sizes = rows.groupBy("token").agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.when(minor, 1)) / BLOCK)).cast("int").alias("minors"),
+        F.greatest(F.lit(1), F.ceil(F.count(F.when(~minor, 1)) / BLOCK)).cast("int").alias("majors"))
+    dealt = rows.join(sizes, "token").join(classes.select("class", "ranges"), "class").withColumn(
+        "block", F.expr("cast(if(part <> main, pmod(xxhash64(class), minors), minors + pmod(xxhash64(class), majors)) as int)"))
+    # a block of the largest part meets the others' blocks; those meet all blocks
+    other = F.expr("if(part <> main, sequence(0, minors + majors - 1), sequence(0, minors - 1))")
+    return dealt.withColumn("other", F.explode(other)).select(
+        "token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
+        "class", "n", "at", "part", "ranges",
+    ).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(
+        _block_pairs(percent), "a long, b long")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the distinct pairs ``a, b`` of classes that reach the threshold."""
     # suffix filter: what token ranges differ by bounds the symmetric difference
@@ -235,7 +291,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, sets: DataFrame, words: int, per
     for side in ("a", "b"):
         pairs = pairs.join(size.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"),
                                        F.col("ranges").alias(f"r_{side}")), side)
-    apart = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.abs(x.cast('int') - y.cast('int'))), F.lit(0), lambda s, x: s + x)
     total = F.col("n_a") + F.col("n_b")
     # |A and B| = (total - difference) / 2, and a link needs 100 |and| >= percent (total - |and|)
     pairs = pairs.where((100 + percent) * (total - apart) >= 2 * percent * total).select("a", "b")
@@ -249,11 +305,22 @@ def _linked(pairs: DataFrame, texts: DataFrame, sets: DataFrame, words: int, per
 
 
 def _reach(n1: str, p1: str, n2: str, p2: str, percent: int) -> str:
-    """SQL form of :func:`may_link`."""
+    """Length and positional filters, for sets of sizes n with a shared token at places p."""
     return (f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {100 + percent} * "
             f"(least({p1}, {p2}) + 1 + least({n1} - {p1}, {n2} - {p2}) - 1) >= {percent} * ({n1} + {n2})")
 
 
+def _closest(met: DataFrame, key: str) -> DataFrame:
+    """Per ``key`` the class and hub that share the most tokens."""
+    return met.groupBy(*{key, "class"}, F.col("hub.class").alias("other")).agg(F.count(F.lit(1)).alias("k")) \
+        .groupBy(key).agg(F.max(F.struct("k", F.col("class").alias("one"), "other")).alias("best"))
+
+
+def _pairs(closest: DataFrame) -> DataFrame:
+    return closest.select(F.least("best.one", "best.other").alias("a"),
+                          F.greatest("best.one", "best.other").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, twin``, one row per row of ``docs``.
 
@@ -269,7 +336,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     ranks = bucket_ranks(rows, words)
     sets = store(rows.mapInArrow(
         _sets(words, percent, ranks),
-        f"doc_id {kind}, twin long, n long, class long, prefix array<long>, ranges array<int>"), "sets")
+        f"doc_id {kind}, twin long, n long, class long, prefix array<long>, ranges array<short>"), "sets")
     full = sets.where("n > 0")
     classes = store(full.groupBy("class").agg(
         F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("ranges").alias("ranges"),
@@ -280,19 +347,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     met = store(
         spread.select("token", "n", "class", F.col("at").cast("long").alias("at"))
         .repartitionByRange("token", "n", "class").mapInArrow(
-            _runs(percent), "token long, n long, class long, at long, edge boolean, a long, b long"), "shared-tokens")
-    shared = met.where("a is null").select("token", "n", "class", "at", "edge")
-    along = Window.partitionBy("token").orderBy("n", "class")
-    before = F.lag(F.struct("n", "at", "class")).over(along).alias("p")
-    across = shared.where("edge").select("n", "at", "class", before).where("p is not null").where(
-        _reach("n", "at", "p.n", "p.at", percent)).select(
-        F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b"), F.lit(1).alias("token"))
-    counted = met.where("a is not null").select("a", "b", "token").union(across) \
-        .groupBy("a", "b").agg(F.sum("token").alias("shared"))
-    best = counted.select("a", F.col("b").alias("other"), "shared").union(
-        counted.select("b", "a", "shared")).groupBy("a").agg(F.max(F.struct("shared", "other")).alias("best"))
-    tried = store(best.select(F.least("a", "best.other").alias("a"), F.greatest("a", "best.other").alias("b"))
-                  .distinct(), "first-pairs")
+            _shared, "token long, n long, class long, at long"), "shared-tokens")
+    # the text that others were copied from has no tokens of its own
+    shared = store(met.join(met.groupBy("class").agg(F.count(F.lit(1)).alias("ties")), "class"), "tied-tokens")
+    hub = F.max(F.struct("ties", (-F.col("n")).alias("short"), "class", "at", "n")).alias("hub")
+    reach = _reach("n", "at", "hub.n", "hub.at", percent)
+    hubs = store(shared.groupBy("token").agg(hub), "hubs")
+    tried = store(_pairs(_closest(shared.join(hubs, "token").where(f"class <> hub.class and {reach}"), "class")),
+                  "hub-pairs")
 
     packed = rows.select("doc_id", "twin", "text").mapInArrow(_pack, f"doc_id {kind}, twin long, packed binary")
     homes = classes.join(shared.select("class").distinct(), "class").select(
@@ -304,20 +366,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     texts = store(texts, "set-texts")
 
     links = _linked(tried, texts, classes, words, percent)
-    named = components(links)
-    placed = store(shared.drop("edge").join(named, F.col("class") == F.col("node"), "left").select(
-        "token", "n", "class", "at", F.coalesce("component", "class").alias("part")), "placed-tokens")
-    sizes = placed.groupBy("token", "part").count()
-    split = sizes.groupBy("token").agg(
-        F.max(F.struct("count", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    apart = placed.join(split.select("token", F.col("top.part").alias("main")), "token")
-    left = apart.where("part <> main").alias("x")
-    pairs = left.join(apart.alias("y"), F.expr(
-        "x.token = y.token and x.part <> y.part and (y.part = y.main or x.class < y.class) and "
-        + _reach("x.n", "x.at", "y.n", "y.at", percent)))
-    pairs = pairs.select(F.expr("least(x.class, y.class)").alias("a"), F.expr("greatest(x.class, y.class)").alias("b"))
-    rest = store(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "second-pairs")
-    links = links.union(_linked(rest, texts, classes, words, percent))
+    for last in (False, True):
+        named = components(links)
+        placed = store(shared.join(named, F.col("class") == F.col("node"), "left").select(
+            "token", "n", "class", "at", "ties", F.coalesce("component", "class").alias("part")), "placed-tokens")
+        parts = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("count"), hub)
+        split = parts.groupBy("token").agg(
+            F.max(F.struct("count", "part", "hub")).alias("top"), F.count(F.lit(1)).alias("parts")
+        ).where("parts > 1").select("token", F.col("top.part").alias("main"), F.col("top.hub").alias("hub"))
+        apart = placed.join(split, "token")
+        if last:     # all pairs that aren't connected
+            pairs = _apart(apart.drop("hub", "ties"), classes, percent)
+        else:        # one for each component, with the hub of the token's largest
+            pairs = _pairs(_closest(apart.where(f"part <> main and {reach}"), "part"))
+        rest = store(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "more-pairs")
+        tried = tried.union(rest)
+        links = links.union(_linked(rest, texts, classes, words, percent))
 
     named = components(links)
     labeled = classes.select("class", "first").join(named, F.col("class") == F.col("node"), "left").select(
