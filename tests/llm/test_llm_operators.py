@@ -368,6 +368,8 @@ def test_edit_distance():
     for _ in range(500):
         a, b = ("".join(random.choice("abc") for _ in range(random.randrange(14))) for _ in range(2))
         assert op8_line_dedup.edit_distance(a, b) == plain(a, b)
+        for limit in range(8):
+            assert (op8_line_dedup.edit_distance(a, b, limit) <= limit) == (plain(a, b) <= limit)
 
 
 # --- 9 -----------------------------------------------------------------------
