@@ -212,7 +212,9 @@ def repeated(suffixes: DataFrame, purpose: str) -> DataFrame:
     """
     kinds = ", ".join(f"{n} {t}" for n, t in suffixes.dtypes)
     flags = "same_lead boolean, same_all boolean, open boolean, edge boolean"
-    found = store(suffixes.repartitionByRange("lead", "tail", "doc_id", "start")
+    # a bucket is sorted in memory, so buckets are a quarter of the usual size
+    buckets = 4 * int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = store(suffixes.repartitionByRange(buckets, "lead", "tail", "doc_id", "start")
                   .mapInArrow(_compare, f"{kinds}, {flags}"), purpose)
     # two rows per partition; a key that fills several partitions has one row in each
     edges = found.where("edge").withColumns({
