@@ -28,15 +28,6 @@ def store(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(df: DataFrame) -> DataFrame:
-    """Give row-local Python work at least as many tasks as there are cores."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _few(df) else df
-
-
-def _few(df: DataFrame) -> bool:
-    return len(df.inputFiles()) == 1
-
-
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """Connected components of ``(a long, b long)``: ``(node, component)``.
 

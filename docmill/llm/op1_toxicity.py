@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docmill.llm.common import slices, store
+from docmill.llm.common import store
 
 TRAINING_DOCS = 8000     # bound on labelled rows the machine is fitted on
-POSITIVES, NEGATIVES, LANDMARKS = 400, 8000, 512
+POSITIVES, NEGATIVES, LANDMARKS = 400, 4000, 256
 DECAY, LENGTH, SPAN, WINDOW = 0.8, 4, 6, 10
 CHUNK = 1 << 20          # characters scored at once
 OVERLAP = 64
@@ -131,7 +131,7 @@ def train(words: list[str], labels: list[int], rows: list[float]) -> tuple[np.nd
     half = LANDMARKS // 2
     chosen = [i for i in range(len(words)) if y[i] > 0][:half] + [i for i in range(len(words)) if y[i] < 0][:half]
     codes = {u: k for k, u in enumerate(sorted({u for i in chosen for u in maps[i]}))}
-    marks = np.zeros((len(chosen), len(codes) + 1))
+    marks = np.zeros((len(chosen), len(codes) + 1), np.float32)
     for r, i in enumerate(chosen):
         for u, v in maps[i].items():
             marks[r, codes[u]] = v
@@ -305,7 +305,7 @@ def _scored(df: DataFrame, model: dict) -> DataFrame:
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, score (0..1), predicted`` of every row's whole text; a null text is empty."""
-    return _scored(slices(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(
+    return _scored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         _windows(model["weights"], 0), f"doc_id {dict(docs.dtypes)['doc_id']}, best double"), model)
 
 
@@ -313,7 +313,7 @@ def marked(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; rows and texts as they are."""
     order = [c for c in docs.columns if c != "text"] + ["text"]
     kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in order)
-    return _scored(slices(docs.select(*order)).mapInArrow(_judged(model["weights"]), f"{kinds}, best double"), model)
+    return _scored(docs.select(*order).mapInArrow(_judged(model["weights"]), f"{kinds}, best double"), model)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docmill.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed values of the model format.
@@ -305,7 +304,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     itself doesn't). Null and empty texts have no ids. Other columns are ignored.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    rows = slices(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast({"model": load(path)})
     return rows.mapInArrow(_encoded(model), f"doc_id {kind}, ids array<int>, exact boolean").select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "exact")

@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from docmill.llm.common import components, slices, store
+from docmill.llm.common import components, store
 from docmill.llm.op9_suffix_dedup import BASE, _powers, mixed
 
 WORDS, PERCENT = 3, 90
@@ -332,7 +332,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     kind = dict(docs.dtypes)["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = slices(docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text).alias("twin")))
+    rows = docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text).alias("twin"))
     ranks = bucket_ranks(rows, words)
     sets = store(rows.mapInArrow(
         _sets(words, percent, ranks),

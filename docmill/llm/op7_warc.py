@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from docmill.llm.common import slices, store
+from docmill.llm.common import store
 from docmill.session import work_dir
 
 CHUNK_BYTES = 256 << 10
@@ -191,6 +191,6 @@ def warc_round_trip(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFra
     """Write ``pages`` to archives in the shared folder and read them back."""
     spark, kind = pages.sparkSession, dict(pages.dtypes)["page_id"]
     path = work_dir(spark, "warc")
-    write_archives(slices(pages), path, chunk_bytes)
+    write_archives(pages, path, chunk_bytes)
     back = read_archives(spark, path)
     return back.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})

@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docmill.llm.common import slices, store
+from docmill.llm.common import store
 
 LENGTH = 200     # bytes of a repeated string
 OWNER = 100      # bytes of the substrings that own windows
@@ -284,9 +284,9 @@ def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     unique = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = slices(docs.select(
+    rows = docs.select(
         "doc_id", (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("twin"),
-        text.cast("binary").alias("data")))
+        text.cast("binary").alias("data"))
     suffixes = rows.where(F.octet_length("data") >= LENGTH).mapInArrow(_run_rows, ROW.format(id=kind))
     first = repeated(suffixes, "suffix-runs")
     packed = rows.mapInArrow(_pack, f"doc_id {kind}, twin long, packed binary")
