@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAINING_DOCS) -> dict
     least = max(2, int(np.ceil(-np.log(10.0 * max(counted.count(), 1)) / chance)))
     tops = counted.where("good = 0").orderBy(F.desc("bad"), "word").limit(POSITIVES).collect()
     lows = counted.where("good > 0").orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()
-    strong = [r for r in tops if r.bad >= least] or tops[:10]
+    strong = [r for r in tops if r.bad >= least] or [r for r in tops if r.bad >= 3]
     positives = {r.word: float(min(r.bad, 20)) for r in strong}
     negatives = {r.word: 1.0 for r in lows}
     if not positives or not negatives:
