@@ -20,6 +20,7 @@ from docmill.llm.common import store
 
 BLOCK_BYTES = 4096
 COMMON_SHARE = 1000
+MISSING = -1     # the right half of an odd last block; no block has this name
 
 
 def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -56,7 +57,7 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         pairs = current.groupBy(
             "row", F.expr("i div 2").cast("int").alias("i"), F.ceil(F.col("n") / 2).cast("int").alias("n")
         ).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("left"),
-              F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"))
+              F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(MISSING)).alias("right"))
         names = store(_names(pairs, ["left", "right"]), "names")
         current = store(pairs.join(names, ["left", "right"])
                         .select("row", "n", "i", "name"), "pair-names")
@@ -67,13 +68,13 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
 
 
 def _common_names(blocks: DataFrame) -> DataFrame:
-    """Names, below zero, of the blocks with over a thousandth of all rows: under a
+    """Names, below -1 (a missing right half), of the blocks with over a thousandth of all rows: under a
     thousand (more only by hash collisions), found by counting hashes."""
     counts = blocks.groupBy(F.xxhash64("block").alias("hash")).count()
     total = blocks.select("n").where("i = 0").agg(F.sum("n")).first()[0] or 0
     hashes = counts.where(F.col("count") * COMMON_SHARE > total).select("hash")
     found = blocks.select("block", F.xxhash64("block").alias("hash")).join(F.broadcast(hashes), "hash", "left_semi")
-    return store(_names(found, ["block"]).withColumn("name", -1 - F.col("name")), "common-names")
+    return store(_names(found, ["block"]).withColumn("name", MISSING - 1 - F.col("name")), "common-names")
 
 
 def _names(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -279,6 +279,14 @@ def test_exact_dedup(docs, empty, block):
     assert exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 4096])
+def test_exact_dedup_tells_a_common_block_from_a_missing_half(spark, block):
+    texts = ["a" * block * n for n in (1, 2, 3, 4, 5, 6, 7, 8, 3)]
+    out = exact_dedup(documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]), block)
+    want = [(k, 8, 2, k == 8) if k in (2, 8) else (k, k, 1, True) for k in range(9)]
+    assert rows_of(out.drop("text_sha256")) == sorted(want, key=repr)
+
+
 # --- 7 -----------------------------------------------------------------------
 
 @pytest.mark.parametrize("chunk", [16, 1 << 18])
