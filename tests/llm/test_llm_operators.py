@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,6 +364,26 @@ def test_line_dedup_equals_brute_force(spark, docs, empty):
     assert op8_line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_runs_cut_by_partitions_keep_what_one_partition_keeps():
+    random.seed(11)
+    sims = [random.getrandbits(63) for _ in range(40)]
+    sims += [s ^ 1 << 62 for s in sims]
+    rows = sorted((7, s, c) for c, s in enumerate(sims))
+
+    def kept(parts):
+        out = set()
+        for part in parts:
+            key, sim, cls = (pa.array(x, pa.int64()) for x in zip(*part))
+            batch = pa.RecordBatch.from_arrays([key, sim, cls], names=["key", "sim", "class"])
+            for found in op8_line_dedup._runs(3)(iter([batch])):
+                out |= {r["class"] for r in found.to_pylist() if r["key"] is not None}
+        return out
+    one = kept([rows])
+    assert one == set(range(80))
+    for n in (3, 7, 20):
+        assert kept([rows[k:k + n] for k in range(0, 80, n)]) >= one
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
