@@ -364,6 +364,64 @@ def test_line_dedup_equals_brute_force(spark, docs, empty):
     assert op8_line_dedup.line_dedup(empty).count() == 0
 
 
+def changed(line, share=None):
+    """``line`` with that share of its letters changed, at least and by default one."""
+    out, places = list(line), [k for k, c in enumerate(line) if c != " "]
+    for k in random.sample(places, max(1, int(len(line) * (share or 0)))):
+        out[k] = random.choice("qxz")
+    return "".join(out)
+
+
+def meeting(pairs, similarity=0.8):
+    """Share of pairs of lines that get to the edit distance."""
+    line, key, at, sim, chars = op8_line_dedup.window_rows([x.encode() for p in pairs for x in p])
+    close, _ = op8_line_dedup._close_windows(similarity)
+    rows, first, met = {"sim": sim, "at": at, "chars": chars}, {}, set()
+    for k in range(len(line)):
+        if line[k] % 2 == 0:
+            first[line[k], key[k]] = k
+    for k in range(len(line)):
+        other = first.get((line[k] - 1, key[k])) if line[k] % 2 else None
+        if other is not None and close(rows, np.array([other]), np.array([k]))[0]:
+            met.add(line[k] // 2)
+    return len(met) / len(pairs)
+
+
+@pytest.mark.parametrize("share,least", [(None, 0.99), (0.05, 0.98), (0.1, 0.85), (0.18, 0.3)])
+@pytest.mark.parametrize("low,high", [(3, 7), (8, 14), (15, 29), (30, 59), (60, 99)])
+def test_line_windows_recall(share, least, low, high):
+    random.seed(12)
+    stock = ["".join(random.choice("etaoinshr") for _ in range(random.randint(2, 9))) for _ in range(400)]
+    lines = [" ".join(random.choices(stock, k=random.randint(low, high))) for _ in range(300)]
+    pairs = [(x, y) for x in lines if len(x) > 9 and (y := changed(x, share)) and
+             op8_line_dedup.edit_distance(x, y) <= 0.2 * len(x) + 1e-9]
+    assert len(pairs) > 100 and meeting(pairs) >= least
+
+
+def test_line_windows_recall_of_given_lines(spark, sf):
+    """All pairs of edit similarity 0.8 among the lines of the smallest table."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    lines = sorted({n for t in texts[:120] for x in t.split("\n") if len(n := op8_line_dedup.normal(x)) > 9 and len(n) < 600}, key=len)
+    pairs = []
+    for k, x in enumerate(lines):
+        for y in lines[k + 1:]:
+            limit = int(0.2 * len(y) + 1e-9)
+            if len(y) - len(x) > limit:
+                break
+            if op8_line_dedup.edit_distance(x, y, limit) <= limit:
+                pairs.append((x, y))
+    assert pairs and meeting(pairs) >= 0.97
+
+
+def test_line_dedup_drops_lines_with_one_letter_changed(spark):
+    random.seed(13)
+    stock = ["".join(random.choice("etaoinshr") for _ in range(random.randint(2, 9))) for _ in range(400)]
+    lines = [" ".join(random.choices(stock, k=random.randint(4, 60))) for _ in range(60)]
+    rows = [(1, "\n".join(lines), "en", "s"), (2, "\n".join(changed(x) for x in lines), "en", "s")]
+    out = op8_line_dedup.line_dedup(documents(spark, rows), windows=True).select("doc_id", "n_removed")
+    assert rows_of(out) == [(1, 0), (2, 60)]
+
+
 def test_line_runs_cut_by_partitions_keep_what_one_partition_keeps():
     random.seed(11)
     sims = [random.getrandbits(63) for _ in range(40)]
