@@ -104,7 +104,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"), windows=True).select(
+    return line_dedup(table(spark, sf_dir, "documents"), min_words=1, windows=True).select(
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.llm import op1_toxicity, op2_mix, op3_pieces, op4_licenses, op5_jaccard_join, op7_warc, op8_line_dedup
-from docmill.llm import op10_embedding_dedup
+from docmill.llm import op10_embedding_dedup, stages
 from docmill.llm.common import components
 from docmill.llm.op6_exact_dedup import exact_dedup
 from docmill.llm.op9_suffix_dedup import multikey_sort, suffix_dedup
@@ -422,6 +422,15 @@ def test_line_dedup_drops_lines_with_one_letter_changed(spark):
     assert rows_of(out) == [(1, 0), (2, 60)]
 
 
+def test_line_stage_drops_short_and_unspaced_repeats(spark):
+    long = "".join(chr(0x4E00 + k * 37 % 9000) for k in range(40))
+    rows = [(1, f"Les.\nAnd ornd.\n日本語\n{long}\n--\n--\npage 1", "en", "s"),
+            (2, f"les\nand  ornd\n日本語\n{long[:20]}本{long[21:]}\n--\npage 2", "en", "s")]
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    out = stages.dedup_lines(spark, docs, "").select("doc_id", "text")
+    assert rows_of(out) == [(1, rows[0][1]), (2, "--\npage 2")]
+
+
 def test_line_runs_cut_by_partitions_keep_what_one_partition_keeps():
     random.seed(11)
     sims = [random.getrandbits(63) for _ in range(40)]
