@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmill.llm.common import table
 from docmill.llm.op10_embedding_dedup import embedding_dedup
+from docmill.llm.op13_collocations import collocations
 from docmill.llm.op1_toxicity import toxicity
 from docmill.llm.op2_mix import mix, position
 from docmill.llm.op3_pieces import encode
@@ -127,3 +128,31 @@ FROM embeddings JOIN low ON n = vec_id LEFT JOIN (SELECT a, count(*) AS k FROM l
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op13_collocations", f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+  translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g
+ FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, range(1, 6) AS t(k))),
+counts AS (SELECT lang, k, g, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING f >= 100),
+kept AS (SELECT * FROM counts c WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM counts d WHERE d.lang = c.lang
+ AND d.k > c.k AND d.f >= c.f AND contains(' ' || d.g || ' ', ' ' || c.g || ' '))),
+cuts AS (SELECT lang, g, f, cut, array_to_string(string_split(g, ' ')[1:cut], ' ') AS left_g,
+ array_to_string(string_split(g, ' ')[cut + 1:], ' ') AS right_g
+ FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (SELECT lang, g, c.f AS a, n, cut, x.f AS l, y.f AS r,
+ ((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+ FROM cuts c JOIN totals USING (lang) JOIN (SELECT lang, g AS left_g, f FROM counts) x USING (lang, left_g)
+ JOIN (SELECT lang, g AS right_g, f FROM counts) y USING (lang, right_g)),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank,
+ g AS phrase, a, l, r, n, score FROM low QUALIFY rank <= 2000
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
