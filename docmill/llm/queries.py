@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmill.llm.common import table
 from docmill.llm.op10_embedding_dedup import embedding_dedup
+from docmill.llm.op12_prefix_trie import prefix_trie
 from docmill.llm.op13_collocations import collocations
 from docmill.llm.op1_toxicity import toxicity
 from docmill.llm.op2_mix import mix, position
@@ -156,3 +157,36 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
 """)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+# the standard checksum, bit by bit: each byte, then eight shifts (-1)
+_CRC32 = """list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, length({0}) + 1), lambda i:
+ [ascii({0}[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+ WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"""
+
+
+@query("op12_prefix_trie", f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+named AS (SELECT conv_id, pos, length(text) AS chars, dense_rank() OVER (ORDER BY role, text) AS name FROM turns),
+lists AS (SELECT conv_id, list({{'name': name, 'chars': chars}} ORDER BY pos) AS own,
+ xor(4294967295, {_CRC32.format("CAST(conv_id AS VARCHAR)")}) % 6 AS h FROM named GROUP BY conv_id),
+built AS (SELECT a.conv_id, coalesce(b.own[1:a.h], []) || a.own[a.h + 1:] AS path
+ FROM lists a LEFT JOIN lists b ON b.conv_id = a.conv_id - a.conv_id % 100),
+steps AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM built),
+members AS (SELECT conv_id, depth, len(path) = depth AS ends, path[1:depth].name AS key, path[depth].chars AS chars
+ FROM (SELECT conv_id, depth, path FROM steps)),
+nodes AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(chars), 0) AS chars,
+ sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+ FROM members GROUP BY depth, key),
+children AS (SELECT depth - 1 AS depth, key[1:depth - 1] AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+facts AS (SELECT nodes.*, coalesce(c.n, 0) AS n_children FROM nodes LEFT JOIN children c USING (depth, key)),
+above AS (SELECT key[1:d] AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+ FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM facts) GROUP BY ALL)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves,
+ saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM facts f JOIN above USING (key) LEFT JOIN facts p ON p.depth = f.depth - 1 AND p.key = f.key[1:f.depth - 1]
+""".replace("path[1:depth].name", "list_transform(path[1:depth], lambda x: x.name)"))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
