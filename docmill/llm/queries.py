@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmill.llm.common import table
 from docmill.llm.op10_embedding_dedup import embedding_dedup
+from docmill.llm.op11_pii import personal_data, span_digest
 from docmill.llm.op12_prefix_trie import prefix_trie
 from docmill.llm.op13_collocations import collocations
 from docmill.llm.op1_toxicity import toxicity
@@ -190,3 +191,8 @@ FROM facts f JOIN above USING (key) LEFT JOIN facts p ON p.depth = f.depth - 1 A
 """.replace("path[1:depth].name", "list_transform(path[1:depth], lambda x: x.name)"))
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_pii")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(personal_data(table(spark, sf_dir, "documents")))
