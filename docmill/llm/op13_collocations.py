@@ -33,8 +33,8 @@ from docmill.session import broadcast_if_small
 
 MOST_WORDS, LEAST_COUNT, PER_LANG = 5, 100, 2000
 PIECE = 1 << 20              # bytes of text handled at once; ends at a blank or a break
-HELD = 1 << 20               # rows summed inside a task before they leave it
-SALTS = 1 << 10              # parts of a language that are ranked apart first
+HELD = 1 << 17               # windows summed inside a task before they leave it
+SALTS = (1 << 10, 1 << 5)    # parts of a language that are ranked apart first
 FILTER_BITS = 27             # bits of a filter: 16 MB, whatever the input
 SLICES = 64
 BASE2 = 0xD1342543DE82EF95
@@ -240,7 +240,7 @@ def _pairs(words):
                 at = at[at < ready]
                 held.append(_neighbours(_lang_names(langs)[lang[at]], names[at], names[at + 1]))
                 size += len(at)
-                if size > 4 * HELD:
+                if size > 32 * HELD:
                     yield emit()
                     held, size = [], 0
         if size:
@@ -371,8 +371,8 @@ def collocations(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COU
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase"),
             *(F.first(c).alias(c) for c in ("a", "n", "low"))))
     order = [F.desc("low.score"), F.desc("a"), F.asc("phrase")]
-    ranked = spelled.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-    for keys in (("lang", "salt"), ("lang",)):     # the best of each part, then of the language
-        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(
-            F.col("rank") <= per_lang)
+    ranked = spelled
+    for parts in (*SALTS, 1):     # the best of each part, of parts together, then of the language
+        best = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order)
+        ranked = ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_lang)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "low.l", "low.r", "n", "low.score")
