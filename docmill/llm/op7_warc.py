@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docmill.llm.common import store
 from docmill.session import work_dir
@@ -37,20 +37,25 @@ SEPARATOR = END + VERSION + "\r\n"
 CHUNKS = "record_id string, chunk_no long, record string, payload_sha256 string"
 
 
-def cuts(payload: bytes, size: int) -> Iterator[tuple[int, int]]:
-    """Chunk bounds: at most ``size`` bytes, whole characters, no separator inside."""
-    bad = (END + VERSION).encode()
-    # the header's end stands right before a payload
-    stops = [m.start() - len(END) + 5 for m in re.finditer(re.escape(bad), END.encode() + payload)]
-    start, stops = 0, [s for s in stops if s > 0] + [len(payload)]
-    for stop in stops:
-        while start < stop:
-            end = min(start + size, stop)
-            while end < len(payload) and end > start + 4 and payload[end] & 0xC0 == 0x80:
-                end -= 1
-            yield start, end
-            start = end
-    if not payload:
+_MARK = re.compile(re.escape((END + VERSION).encode()))
+
+
+def cuts(payload: bytes | memoryview, size: int) -> Iterator[tuple[int, int]]:
+    """Chunk bounds: at most ``size`` bytes, whole characters, no separator inside nor
+    between a chunk and the end of the header before it. Reads on as it is asked."""
+    start, reach = 0, len(VERSION) + len(END)
+    while start < len(payload):
+        end = min(start + size, len(payload))
+        mark = _MARK.search(END.encode() + bytes(payload[start:start + reach]))
+        if mark:
+            end = min(end, start + mark.start() + 1)
+        if mark := _MARK.search(payload, start, end):
+            end = mark.start() + len(END) + 1
+        while end < len(payload) and end > start + 4 and payload[end] & 0xC0 == 0x80:
+            end -= 1
+        yield start, end
+        start = end
+    if not len(payload):
         yield 0, 0
 
 
@@ -58,9 +63,19 @@ def _header(fields: list[tuple[str, object]]) -> str:
     return VERSION + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
 
 
+#: Stands for a null page id; no quoted value holds it.
+NULL = "%-"
+
+
 def _quote(value: object) -> str:
-    """One header line, whatever the value holds."""
-    return "" if value is None else str(value).replace("\r", "%0D").replace("\n", "%0A")
+    """One header line that :func:`_unquoted` turns back, whatever the value holds."""
+    return NULL if value is None else str(value).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _unquoted(value: Column) -> Column:
+    for code, char in (("%0D", "\r"), ("%0A", "\n"), ("%25", "%")):
+        value = F.replace(value, F.lit(code), F.lit(char))
+    return value
 
 
 def _chunks(size: int):
@@ -70,29 +85,29 @@ def _chunks(size: int):
             out, held = ([], [], [], []), 0
             for key, url, html, refers in zip(*(batch.column(i) for i in range(4))):
                 key, url, refers = key.as_py(), url.as_py(), refers.as_py()
-                data = (html.as_py() or "").encode()
+                data = memoryview(html.as_buffer())     # the cell itself, not a copy
                 n += 1
                 record = f"<urn:docmill:{part}-{n}>"
-                bounds = [(0, 0)] if refers is not None else list(cuts(data, size))
                 running = hashlib.sha256()
                 if refers is not None:
                     running.update(data)
-                for k, (start, end) in enumerate(bounds):
+                for k, (start, end) in enumerate(cuts(data, size) if refers is None else [(0, 0)]):
                     piece = data[start:end]
                     running.update(piece)
+                    last = refers is not None or end == len(data)
                     kind = "continuation" if k else "response" if refers is None else "revisit"
                     fields = [("WARC-Type", kind), ("WARC-Record-ID", record if not k else f"{record[:-1]}-{k}>"),
-                              ("WARC-Page-ID", "" if key is None else key), ("WARC-Target-URI", _quote(url))]
+                              ("WARC-Page-ID", _quote(key)), ("WARC-Target-URI", _quote(url))]
                     if refers is not None:
-                        fields += [("WARC-Refers-To", refers), ("WARC-Payload-Digest", f"sha256:{running.hexdigest()}"),
+                        fields += [("WARC-Refers-To", _quote(refers)), ("WARC-Payload-Digest", f"sha256:{running.hexdigest()}"),
                                    ("WARC-Payload-Length", len(data))]
-                    if len(bounds) > 1:
+                    if k or not last:
                         fields += [("WARC-Segment-Origin-ID", record), ("WARC-Segment-Number", k + 1),
                                    ("WARC-Running-Digest", f"sha256:{running.hexdigest()}")]
-                        if k + 1 == len(bounds):
+                        if last:
                             fields += [("WARC-Segment-Total-Length", len(data))]
                     fields += [("Content-Length", len(piece))]
-                    row = (record, k + 1, _header(fields) + piece.decode(), running.hexdigest())
+                    row = (record, k + 1, _header(fields) + str(piece, "utf-8"), running.hexdigest())
                     held += len(row[2])
                     for column, value in zip(out, row):
                         column.append(value)
@@ -169,13 +184,16 @@ def read_archives(spark, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", SEPARATOR).text(path).select(
         F.regexp_replace("value", r"^WARC/1\.1\r\n", "").alias("value")).where("value <> ''")
     head = F.substring_index("value", END, 1)
-    field = lambda name: F.nullif(F.regexp_extract(F.col("head"), rf"(?:^|\n){name}: ([^\r\n]*)", 1), F.lit(""))
+    # a field starts a line: values hold no line ends, so none can pass for another field
+    field = lambda name: F.when(
+        F.regexp_like("head", F.lit(rf"(?:^|\n){name}: ")), F.regexp_extract("head", rf"(?:^|\n){name}: ([^\r\n]*)", 1))
+    value = lambda name: _unquoted(F.nullif(field(name), F.lit(NULL)))
     rows = raw.select(head.alias("head"), F.col("value").cast("binary").alias("data")).select(
-        field("WARC-Page-ID").alias("page_id"), field("WARC-Type").alias("kind"),
+        value("WARC-Page-ID").alias("page_id"), field("WARC-Type").alias("kind"),
         field("WARC-Segment-Origin-ID").alias("origin"), field("WARC-Segment-Number").cast("long").alias("no"),
-        field("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest").alias("digest"),
+        value("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest").alias("digest"),
         field("WARC-Payload-Length").cast("long").alias("length"),
-        F.expr("substring(data, octet_length(head) + 5, cast(regexp_extract(head, 'Content-Length: ([0-9]+)', 1) as int))").alias("payload"))
+        F.substring("data", F.octet_length("head") + len(END) + 1, field("Content-Length").cast("int")).alias("payload"))
     single = rows.where("origin is null").select(
         "page_id",
         F.when(F.col("kind") == "revisit", F.col("length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),

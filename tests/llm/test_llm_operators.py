@@ -296,7 +296,9 @@ def test_warc_round_trip(spark, chunk):
     rows = [(1, "u", body), (2, "u\r\nWARC/1.1", body), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"),
             (7, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"), (8, "u", "a\r\n\r\nWARC/1.1\r\n\r\nWARC/1.1\r\n" * 9),
             (9, "u", "\r\n\r\n" * 60), (10, "u", "é😀" * (2000 if chunk == 16 else 300_000)), (None, "u", body), (1, "u", body),
-            (11, "u", "tail\r\n\r\nWARC/1.1"), (12, "u", "x" * 100 + "\r\n")]
+            (11, "u", "tail\r\n\r\nWARC/1.1"), (12, "u", "x" * 100 + "\r\n"), (13, "http://x/?q=Content-Length: 5", "sixteen bytes..."),
+            (14, "Content-Length: 2\r\nContent-Length: 3", "four"), (15, "u", "x" * 16 + "WARC/1.1\r\n" * 30),
+            (16, "u", "\r\nWARC/1.1\r\nContent-Length: 1\r\n\r\nabc"), (17, "%0D%25-", "x" * 14 + "\r\nWARC/1.1\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("record", F.lit(2))
     out = op7_warc.warc_round_trip(pages, chunk)
     first = {}
@@ -312,6 +314,19 @@ def test_warc_round_trip(spark, chunk):
     assert op7_warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ids_may_hold_header_text(spark):
+    body = "y" * 150
+    ids = ["a\r\nContent-Length: 3", "Content-Length: 1", "", None, "%0D", "%-", "100%", "b\nWARC-Type: revisit", " spaced "]
+    rows = [(p, "u", f"{k} {body}" if k % 2 else body) for k, p in enumerate(ids)]
+    out = rows_of(op7_warc.warc_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")))
+    first = min(p for k, p in enumerate(ids) if k % 2 == 0 and p is not None)
+    assert [r[0] for r in out] == sorted(ids, key=lambda p: repr((p,)))
+    for page, size, digest, kind, refers in out:
+        html = dict((r[0], r[2]) for r in rows)[page]
+        assert (size, digest) == (len(html), hashlib.sha256(html.encode()).hexdigest())
+        assert (kind, refers) == (("revisit", first) if html == body and page != first else ("response", None))
+
+
 def test_warc_chunks_are_bounded(spark):
     pages = spark.createDataFrame([(1, "u", "é" * 5000)], "page_id long, url string, html string")
     chunks = op7_warc.chunk_records(pages, 64).orderBy("chunk_no").collect()
