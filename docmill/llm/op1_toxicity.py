@@ -310,10 +310,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def marked(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; rows and texts as they are."""
-    order = [c for c in docs.columns if c != "text"] + ["text"]
-    kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in order)
-    return _scored(docs.select(*order).mapInArrow(_judged(model["weights"]), f"{kinds}, best double"), model)
+    """``docs`` with ``score`` and ``predicted``, which replace columns of these names;
+    rows, texts and all other columns are as they were."""
+    rest = [c for c in docs.columns if c not in ("text", "score", "predicted")]
+    packed = docs.select(F.struct(*rest).alias("rest"), "text")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in packed.dtypes)
+    judged = _scored(packed.mapInArrow(_judged(model["weights"]), f"{kinds}, best double"), model)
+    return judged.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns
+                           if c not in ("score", "predicted")), "score", "predicted")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

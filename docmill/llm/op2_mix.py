@@ -8,7 +8,8 @@ demand reaches n, which inverts to a training position. Documents are range-sort
 by the position at which they first appear.
 
 Prefix sums are two-level (sums per bucket of the order key, then inside a
-bucket), so that a source with a third of all rows is no single task.
+bucket), so that a source with a third of all rows is no single task; rows equal in
+id, source and text are counted per partition first.
 """
 
 from __future__ import annotations
@@ -89,40 +90,58 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) ->
         .otherwise(F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, schedules=SCHEDULES, weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
+def mix(docs: DataFrame, schedules=SCHEDULES, weights=WEIGHTS, max_passes: int = MAX_PASSES,
+        carry: str | None = None) -> DataFrame:
     """``doc_id, size, source_size, target, taken, position`` range-sorted by position.
 
     ``taken`` counts the words the mix takes from a document, all passes together;
     a source's sum to its target rounded to a whole word. ``position`` (0 to 1) is
     where the document first appears, null if it isn't taken. A null text has size
-    0, a null source is a source of its own, equal ids are rows of their own (tied
-    in the order, then by size); an empty table gives no rows.
+    0, a null source is a source of its own, equal ids are rows of their own; rows
+    equal in id, source and text are interchangeable, each with a share of its own.
+    An empty table gives no rows. ``carry`` names a column to pass through.
     """
+    carried = [] if carry is None else [F.col(carry).alias("carried")]
+    text = F.coalesce(F.col("text"), F.lit(""))
     sized = store(docs.select(
-        "doc_id", "source", words("text").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")), "sizes")
+        "doc_id", "source", words("text").alias("size"), *carried,
+        F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), F.lit("|"), F.md5(text))).alias("key"),
+        F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "sizes")
     digits, rows = 0, sized.count()
     while rows > ROWS_PER_BUCKET * 16 ** digits:
         digits += 1
-    sized = sized.withColumn("bucket", F.substring("key", 1, digits))
-    sums = store(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "bucket-sizes")
+    # equal rows have equal sizes: they are counted by partition, so that however many
+    # there are, none of the sums below sees them one by one
+    before_part = Window.partitionBy("source", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    equal = store(sized.groupBy("source", "key", "size", "part").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "ahead", F.coalesce(F.sum("n").over(before_part), F.lit(0))), "equal-rows")
+    keys = equal.groupBy("source", "key").agg(F.sum(F.col("n") * F.col("size")).alias("words")).withColumn(
+        "bucket", F.substring("key", 1, digits))
+    sums = store(keys.groupBy("source", "bucket").agg(F.sum("words").alias("words")), "bucket-sizes")
     plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_passes)
     offset = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("offset", F.coalesce(F.sum("words").over(offset), F.lit(0))).alias("s")
     plan = starts.join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select(
         F.col("s.source").alias("source_"), F.col("s.bucket").alias("bucket_"), "offset",
         "source_size", "kind", "target").withColumn("whole", F.floor(F.col("target") + 0.5))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    queued = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    queued = queued.join(plan, F.col("source").eqNullSafe(F.col("source_"))
-                         & (F.col("bucket") == F.col("bucket_")))
-    queued = queued.withColumn("start", F.col("offset") + F.col("inside"))
+    inside = Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keys.withColumn("inside", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(
+        plan, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_"))).select(
+        "source", "key", (F.col("offset") + F.col("inside")).alias("first"), "source_size", "kind", "target", "whole")
+    in_part = Window.partitionBy("source", "key", "part").orderBy("row")
+    queued = sized.withColumn("nth", F.row_number().over(in_part) - 1).alias("r").join(
+        equal.select(F.col("source").alias("source_"), F.col("key").alias("key_"), F.col("part").alias("part_"), "ahead"),
+        F.col("key").eqNullSafe(F.col("key_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("part") == F.col("part_"))
+    ).drop("source_", "key_", "part_").join(
+        placed.withColumnsRenamed({"source": "source_", "key": "key_"}),
+        (F.col("key") == F.col("key_")) & F.col("source").eqNullSafe(F.col("source_")))
+    queued = queued.withColumn("start", F.col("first") + (F.col("ahead") + F.col("nth")) * F.col("size"))
     passes = F.when(F.col("source_size") > 0, F.expr("whole div source_size")).otherwise(0)
     part = F.col("whole") - passes * F.col("source_size") - F.col("start")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(part, F.col("size")))
     return queued.withColumn("taken", taken.cast("long")).withColumn(
         "share", F.when(F.col("taken") > 0, F.col("start") / F.col("whole"))
     ).withColumn("position", F.expr(position("kind", "share", schedules))).select(
-        "doc_id", "size", "source_size", "target", "taken", "position"
+        "doc_id", "size", "source_size", "target", "taken", "position",
+        *([] if carry is None else [F.col("carried").alias(carry)])
     ).orderBy("position", "doc_id")

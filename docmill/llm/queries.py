@@ -42,7 +42,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_mix", f"""
 WITH sized AS (
  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-  md5(coalesce(cast(doc_id AS VARCHAR), '')) AS key FROM documents),
+  md5(coalesce('=' || cast(doc_id AS VARCHAR), '-') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS kind FROM sizes),
 weighted AS (SELECT *, CASE kind WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS cap FROM ranked),

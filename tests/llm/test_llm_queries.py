@@ -1,8 +1,12 @@
 """The registered queries on the given tables, and the pipeline."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from docmill.llm.op2_mix import mix
 from docmill.llm.queries import ORACLES, QUERIES
 from docmill.llm.stages import mix_sources
 from tests.llm import cases
@@ -30,7 +34,7 @@ def test_every_operator_has_one_query():
     import __spark_entry__ as contract
 
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in contract.queries()
 
 
 @pytest.mark.parametrize("name", ["op4_licenses", "op6_exact_dedup"])
@@ -60,12 +64,28 @@ def test_stages(spark, sf):
 
 def test_stages_on_hostile_documents(spark, sf):
     for rows in (DOCS, []):
-        docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = corpus_pipeline.store(stage(spark, docs, sf), "test-stage")
+        docs = documents(spark, rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = corpus_pipeline.store(stage(spark, docs, sf), "test-stage")
+            assert after.dtypes == docs.dtypes, name
+            assert after.where(" or ".join(f"`{c}` <> 'clash'" for c in cases.CLASHES)).count() == 0, name
+            assert after.where("n_chars <> length(text)").count() == 0
+            docs = after
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
 
 
+def test_mixing_rows_with_null_and_repeated_ids(spark, sf):
+    rows = [(None, f"text {k} " * (1 + k % 3), "en", "a") for k in range(30)] + [(None, "same words", "en", "a")] * 20 \
+        + [(7, "one " * k, "en", "b") for k in range(1, 9)] + [(7, "one", None, None)] * 4 + [(8, "", "en", "b"), (9, None, "en", "c")]
+    docs = documents(spark, rows)
+    taken = Counter()
+    for r in mix(docs.select("doc_id", "source", "text").withColumn("whole", F.struct("doc_id", "text")), carry="whole").collect():
+        if r.taken:
+            taken[r.doc_id, r.whole.text] += -(-r.taken // r.size)
+    got = Counter((r.doc_id, r.text) for r in mix_sources(spark, docs, sf).collect())
+    assert got and got == taken
+
+
 def test_mixing_repeats_documents(spark, sf):
     docs = documents(spark, [(k, "one two three", "en", s) for k, s in enumerate("aaaabbbbcccc")]) \
         .select("doc_id", "text", "lang", "source", "n_chars")
