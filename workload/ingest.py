@@ -4,7 +4,9 @@ Queries on stores write to a new folder under the shared work folder, read it
 back and return what a reader sees.
 """
 
-from pyspark.sql import functions as F
+import functools
+
+from pyspark.sql import DataFrame, functions as F
 
 from docmill.fixed_values import NO_FILE, NO_TEXT, UNSUPPORTED_TYPE
 from docmill.functions import files as file_functions
@@ -105,7 +107,17 @@ UPSERTED = """SELECT cast(doc_id AS string) AS doc_id, CASE WHEN doc_id % 5 = 0
  UNION ALL SELECT sha256('anonymous' || chr(1) || text), 'anonymous', text FROM (SELECT DISTINCT text FROM documents)"""
 
 
-@query("io8_upsert", f"SELECT doc_id, filename, text, CASE WHEN text = '' THEN 0 ELSE 3 END AS dim FROM ({UPSERTED})")
+_TOTAL = "list_sum(list_transform(string_split(text, ''), lambda c: unicode(c)))"
+#: Every value of the stored vector; an empty text has none.
+SQL_VECTOR = f"""CASE WHEN text = '' THEN '' ELSE concat_ws(',', cast(length(text) AS double),
+ cast({_TOTAL} % 1000 AS double), cast(({_TOTAL} // (length(text) + 1)) % 100 AS double)) END AS vector"""
+
+
+def _vector():
+    return F.array_join(F.transform("vector", lambda v: v.cast("string")), ",").alias("vector")
+
+
+@query("io8_upsert", f"""SELECT doc_id, filename, text, {SQL_VECTOR}, filename AS source_filename FROM ({UPSERTED})""")
 def upsert(spark, sf_dir):
     """Three batches and a compaction: every third document is replaced by the
     newest of several versions (all of them also under one hot id's rows), every
@@ -126,7 +138,22 @@ def upsert(spark, sf_dir):
     store.upsert(files.to_records(empty.unionByName(unnamed)), root, 2)
     store.upsert(files.to_records(empty.unionByName(unnamed)), root, 2)  # a repeated batch
     return store.read(spark, root).select(
-        "doc_id", "filename", "text", F.size("vector").cast("bigint").alias("dim"))
+        "doc_id", "filename", "text", _vector(), F.col("metadata")["source_filename"].alias("source_filename"))
+
+
+@query("pf2_store_lookup", """SELECT cast(doc_id AS string) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' || text ELSE text END AS text
+ FROM documents WHERE doc_id IN (0, 1, 3, 12, 77)""")
+def store_lookup(spark, sf_dir):
+    """Single ids in a compacted store with a later commit; one of them is absent."""
+    root = work_dir(spark, "pf2")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.lit("f").alias("filename"), "text")
+    store.upsert(files.to_records(docs), root, 0)
+    store.compact(spark, root)
+    newer = docs.filter(F.col("doc_id").cast("bigint") % 3 == 0).withColumn("text", F.concat(F.lit("new "), "text"))
+    store.upsert(files.to_records(newer), root, 1)
+    found = [store.lookup(spark, root, i).select("doc_id", "text") for i in ("0", "1", "3", "12", "77", "absent")]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 _INGESTED = f"i AS (SELECT DISTINCT url AS filename, {sql_strip('html')} AS text FROM pages)"
@@ -211,18 +238,15 @@ def history(spark, sf_dir):
     return store.history(spark, path)
 
 
-@query("io13_ids_and_vectors", """SELECT cast(doc_id AS string) AS doc_id, cast(length(text) AS double) AS v0,
- CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 3 END AS dim FROM documents WHERE doc_id % 5 <> 0
- UNION ALL SELECT cast(doc_id AS string), NULL, 0 FROM documents WHERE doc_id % 5 = 0""")
+@query("io13_ids_and_vectors", f"""SELECT doc_id, {SQL_VECTOR} FROM (SELECT cast(doc_id AS string) AS doc_id,
+ CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text FROM documents)""")
 def ids_and_vectors(spark, sf_dir):
     root = work_dir(spark, "io13")
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"), F.lit("f").alias("filename"),
         F.expr("case when doc_id % 5 = 0 then '' else text end").alias("text"))
     store.upsert(files.to_records(docs), root, 0)
-    return store.ids_and_vectors(store.read(spark, root)).select(
-        "doc_id", F.try_element_at("vector", F.lit(1)).alias("v0"),
-        F.size("vector").cast("bigint").alias("dim"))
+    return store.ids_and_vectors(store.read(spark, root)).select("doc_id", _vector())
 
 
 @query("io14_rejects", f"""SELECT * FROM (SELECT doc_id, filename, CASE WHEN filename = '' THEN '{NO_FILE}'
