@@ -19,26 +19,23 @@ def _key_sums(key: str, value: str) -> Column:
     )))
 
 
-def corpus_report(analyses: DataFrame) -> DataFrame:
-    """Totals, mean score, ``file_types`` and ``clause_frequency`` maps, and
-    ``score_counts``, the scores as a map from score to number of documents.
-
-    The documents are folded into one row per (file type, score), under a
-    thousand rows, and the clause counts into one per clause; only those meet
-    in the last step.
-    """
-    by_kind = analyses.groupBy(
+def by_kind(analyses: DataFrame) -> DataFrame:
+    """Documents folded into one row per file type and score: under a thousand rows."""
+    return analyses.groupBy(
         F.coalesce("analytics.file_type", F.lit(UNKNOWN_TYPE)).alias("kind"),
         F.coalesce("analytics.legality_score", F.lit(0)).alias("score"),
     ).agg(
         F.count(F.lit(1)).alias("docs"),
         *[F.sum(F.coalesce(f"analytics.{t}", F.lit(0))).alias(t) for t in TOTALS],
     )
-    folded = by_kind.unionByName(clause_frequency(analyses), allowMissingColumns=True)
+
+
+def fold(parts: DataFrame) -> DataFrame:
+    """The report from few rows: ``kind, score, docs`` and the totals, or ``clause, n``."""
     documents = F.coalesce(F.sum("docs"), F.lit(0))
     points = F.sum(F.col("score") * F.col("docs"))
     mean = round_half_even_2(F.try_divide(points.cast("double"), documents.cast("double")))
-    return folded.agg(
+    return parts.agg(
         documents.alias("total_documents"),
         *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TOTALS],
         F.coalesce(mean, F.lit(0.0)).alias("average_legality_score"),
@@ -46,3 +43,14 @@ def corpus_report(analyses: DataFrame) -> DataFrame:
         _key_sums("score", "docs").alias("score_counts"),
         _key_sums("clause", "n").alias("clause_frequency"),
     )
+
+
+def corpus_report(analyses: DataFrame) -> DataFrame:
+    """Totals, mean score, ``file_types`` and ``clause_frequency`` maps, and
+    ``score_counts``, the scores as a map from score to number of documents.
+
+    The documents are folded into one row per (file type, score), under a
+    thousand rows, and the clause counts into one per clause; only those meet
+    in the last step.
+    """
+    return fold(by_kind(analyses).unionByName(clause_frequency(analyses), allowMissingColumns=True))

@@ -7,11 +7,13 @@ from docmill.functions import files as file_functions
 from docmill.operators import corpus, pages as pages_op
 from docmill.plans.analyze import analyze, rule_scores
 from docmill.plans.corpus_report import corpus_report
+from docmill.session import work_dir
+from docmill.sources import summary
 from workload.extraction import (
     ENTITIES, GAZETTEER, NAMES, TOTAL_CLAUSES, VERDICTS, COUNTS, gazetteer, _counts_sql, _present_sql,
 )
 from workload.registry import (
-    DOCS, FILENAME, TEXT, REPLY, documents, query, sql_emails, sql_not_blank, sql_phones, sql_signers,
+    DOCS, ORACLES, FILENAME, TEXT, REPLY, documents, query, sql_emails, sql_not_blank, sql_phones, sql_signers,
 )
 from workload.summaries import FREQUENCY_SUMMARY
 
@@ -94,12 +96,32 @@ SELECT {TOTALS}, {MEAN}, {_map_sql('ft', 'file_type')} AS file_types,
  (SELECT string_agg(cast(score AS string) || '=' || cast(n AS string), '|' ORDER BY score) FROM sc) AS score_counts,
  {_map_sql('cf', 'clause')} AS clause_frequency FROM s""")
 def report(spark, sf_dir):
-    r = corpus_report(analyses(spark, sf_dir))
+    return _report_text(corpus_report(analyses(spark, sf_dir)))
+
+
+def _report_text(r):
     return r.select(
         "total_documents", *corpus.TOTALS, "average_legality_score",
         *[_map_text(F.col(c)).alias(c) for c in ("file_types", "score_counts", "clause_frequency")])
 
 
+@query("ag1_maintained_report", ORACLES["corpus_report"])
+def maintained_report(spark, sf_dir):
+    """The same report from changes: outdated records first, which two later batches
+    replace, one of them repeated, with a compaction between."""
+    root = work_dir(spark, "ag1")
+    true = analyses(spark, sf_dir)
+    outdated = true.withColumn("analytics", F.col("analytics").withField("total_emails", F.lit(9)).withField("file_type", F.lit("old"))
+                               .withField("legality_score", F.col("doc_id").cast("int") % 101))
+    third = F.col("doc_id") % 3 == 0
+    summary.commit(outdated, root, 0)
+    summary.commit(true.filter(~third), root, 1)
+    summary.compact(spark, root)
+    summary.commit(outdated.filter(third), root, 2)
+    summary.commit(true.filter(third), root, 2)
+    return _report_text(summary.report(spark, root))
+
+
 # The whole upload job, on lines as pages.
 JOINED = f"""d0 AS (SELECT doc_id, {TEXT} AS t, {FILENAME} AS filename, {REPLY} AS raw FROM documents),
 d AS (SELECT doc_id, filename, raw, list_filter(string_split(t, chr(10)), lambda p: {sql_not_blank('p')}) AS pages,
