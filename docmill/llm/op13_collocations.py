@@ -33,7 +33,7 @@ from docmill.session import broadcast_if_small
 
 MOST_WORDS, LEAST_COUNT, PER_LANG = 5, 100, 2000
 PIECE = 1 << 20              # bytes of text handled at once; ends at a blank or a break
-HELD = 1 << 17               # windows summed inside a task before they leave it
+HELD = 1 << 22               # pairs of words summed inside a task before they leave it
 SALTS = (1 << 10, 1 << 5)    # parts of a language that are ranked apart first
 FILTER_BITS = 27             # bits of a filter: 16 MB, whatever the input
 SLICES = 64
@@ -240,7 +240,7 @@ def _pairs(words):
                 at = at[at < ready]
                 held.append(_neighbours(_lang_names(langs)[lang[at]], names[at], names[at + 1]))
                 size += len(at)
-                if size > 32 * HELD:
+                if size > HELD:
                     yield emit()
                     held, size = [], 0
         if size:
@@ -249,22 +249,13 @@ def _pairs(words):
 
 
 def _windows(most: int, tables):
-    """``lang, text`` to ``lang, w1 .. w<most>, n``: padded longest windows of two words
-    or more, and how often each is met."""
+    """``lang, text`` to ``lang, w1 .. w<most>``: padded longest windows of two words or
+    more, a row for each place; Spark's partial aggregation adds them up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt, table, pairs = tables.value
-        lexer, held, size, known = Lexer(salt), [], 0, {}
-
-        def emit():
-            columns, n, _ = _merged([np.concatenate(c) for c in zip(*held)], np.ones(size, np.int64))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(known), pa.string()).take(pa.array(columns[0])),
-                 *(pa.array(c.view(np.int64)) for c in columns[1:]), pa.array(n)],
-                names=["lang", *(f"w{k + 1}" for k in range(most)), "n"])
-
+        lexer = Lexer(salt)
         for batch in batches:
             for names, piece, lang, langs, ready in _walk(lexer, batch, most - 1):
-                here = np.array([known.setdefault(x, len(known)) for x in langs], np.int64)
                 some = table.has(names)
                 on = np.zeros(len(names), bool)
                 near = np.flatnonzero(some[:-1] & some[1:] & (piece[1:] == piece[:-1]))
@@ -272,18 +263,14 @@ def _windows(most: int, tables):
                 at = np.flatnonzero(on[:ready])
                 if not len(at):
                     continue
-                columns, alive = [here[lang[at]], names[at]], np.ones(len(at), bool)
+                columns, alive = [names[at]], np.ones(len(at), bool)
                 for k in range(1, most):
                     place = np.minimum(at + k, len(names) - 1)      # the lead column, or the pad
                     alive = alive & on[place - 1] & (at + k < len(names))
                     columns.append(np.where(alive, names[place], np.uint64(0)))
-                held.append(columns)
-                size += len(at)
-                if size > HELD:
-                    yield emit()
-                    held, size = [], 0
-        if size:
-            yield emit()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(langs, pa.string()).take(pa.array(lang[at])), *(pa.array(c.view(np.int64)) for c in columns)],
+                    names=["lang", *(f"w{k + 1}" for k in range(most))])
     return run
 
 
@@ -312,11 +299,11 @@ def phrase_counts(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_CO
     near = bit_table(pairs.where(F.col("n") >= least).select("pair"), filter_bits)
     shipped.append(context.broadcast((salt, table, near)))
     columns = [f"w{k + 1}" for k in range(most)]
-    windows = rows.mapInArrow(_windows(most, shipped[1]), ", ".join(["lang string", *(f"{c} long" for c in columns), "n long"]))
+    windows = rows.mapInArrow(_windows(most, shipped[1]), ", ".join(["lang string", *(f"{c} long" for c in columns)]))
     # one head of language and first pair spares ROLLUP the levels that no phrase has
     head = F.struct("lang", "w1", "w2").alias("head")
-    rolled = windows.select(head, *columns[2:], "n").rollup("head", *columns[2:]).agg(
-        F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    rolled = windows.select(head, *columns[2:]).rollup("head", *columns[2:]).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
     # level 2^k - 1: the last k columns are summed over
     last = F.lit(None).cast("long")
     key = F.lit(None).cast("array<long>")
