@@ -1,15 +1,17 @@
 """Word-level operators: keywords, lemmas, dictionary entities, frequency summary.
 
-Counts and keywords of a text are computed inside its row. Operators that look
-words up in a table of lemmas, and the frequency summary, shuffle the texts once, by
-``doc_id``, before splitting them into words; all later grouping and ranking is
-within a document and reuses that partitioning.
+Everything that one text decides, counts, keywords, summaries, lemmas and mentions of
+dictionary entries, is computed inside its row; dictionaries are broadcast once they
+are measured to be small. With a larger table of lemmas, the texts are shuffled once,
+by ``doc_id``, before they are split into words; all later grouping and ranking is
+within a document and reuses that partitioning. Rows without a ``doc_id`` are left out
+there, and rows that share one count as one document; in the row, neither happens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,7 +21,8 @@ from docmill.fixed_values import (
 from docmill.functions.text import (
     SPACE, WORD, alphabetic_words, bind, clean_text, join_in_order, sentences, words,
 )
-from docmill.session import broadcast_if_small
+from docmill.functions import wordwise
+from docmill.session import broadcast_if_small, is_small
 
 # A short default; pass the list that suits the language at hand.
 STOP_WORDS = (
@@ -55,27 +58,15 @@ def _lemma_of(tokens: DataFrame, form: str, lemmas: DataFrame | None) -> DataFra
     )
 
 
-def _keywords(text: Column, stop_words: Sequence[str]) -> Column:
-    """Alphabetic words in lower case, with their place among all alphabetic words."""
-    placed = F.transform(alphabetic_words(text), lambda x, i: F.struct(F.lower(x).alias("lemma"), i.alias("pos")))
-    return F.filter(placed, lambda x: ~x["lemma"].isin(*stop_words))
-
-
-def _counted(text: Column, stop_words: Sequence[str]) -> Column:
-    """``array<struct<lemma, n, first_pos>>`` of one text. Sorting puts equal words
-    side by side, so the counts are the distances between the places where the word
-    changes; no other row is needed."""
-    def runs(ordered: Column) -> Column:
-        changes = F.filter(
-            F.transform(ordered, lambda x, i: F.when(
-                (i == 0) | (F.get(ordered, i - 1)["lemma"] != x["lemma"]), i)),
-            lambda i: i.isNotNull())
-        return bind(changes, lambda at: F.transform(at, lambda start, j: F.struct(
-            F.get(ordered, start)["lemma"].alias("lemma"),
-            (F.coalesce(F.get(at, j + 1), F.size(ordered)) - start).cast("bigint").alias("n"),
-            F.get(ordered, start)["pos"].alias("first_pos"))))
-
-    return bind(F.array_sort(_keywords(text, stop_words)), runs)
+def _in_rows(lemmas: DataFrame | None):
+    """A broadcast dictionary ``form -> lemma`` if ``lemmas`` is small, else None."""
+    if lemmas is None:
+        return None
+    table = lemmas.where("form is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))
+    if not is_small(table):
+        return None
+    known = {r.form: r.lemma for r in table.collect() if r.lemma is not None}
+    return lemmas.sparkSession.sparkContext.broadcast(known)
 
 
 def keyword_tokens(
@@ -94,9 +85,10 @@ def keyword_tokens(
 def token_counts(
     docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None
 ) -> DataFrame:
-    """``(doc_id, lemma, n, first_pos)``; without a dictionary nothing is shuffled."""
-    if lemmas is None:
-        return docs.select("doc_id", F.inline(_counted(F.col("text"), stop_words)))
+    """``(doc_id, lemma, n, first_pos)``; with a small dictionary or none nothing is shuffled."""
+    known = _in_rows(lemmas)
+    if lemmas is None or known:
+        return docs.select("doc_id", F.inline(wordwise.word_counts(F.col("text"), stop_words, known)))
     return keyword_tokens(docs, stop_words, lemmas).groupBy("doc_id", "lemma").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos")
     )
@@ -115,12 +107,9 @@ def top_keywords(
     lemmas: DataFrame | None = None,
 ) -> DataFrame:
     """``(doc_id, rank, lemma, n)``: most common lemmas, ties by first occurrence."""
-    if lemmas is None:
-        ordered = F.array_sort(F.transform(
-            _counted(F.col("text"), stop_words),
-            lambda x: F.struct((-x["n"]).alias("less"), x["first_pos"].alias("pos"), x["lemma"].alias("lemma"))))
-        return docs.select("doc_id", F.posexplode(F.slice(ordered, 1, k)).alias("i", "x")).select(
-            "doc_id", (F.col("i") + 1).alias("rank"), "x.lemma", (-F.col("x.less")).alias("n"))
+    known = _in_rows(lemmas)
+    if lemmas is None or known:
+        return docs.select("doc_id", F.inline(wordwise.top_words(F.col("text"), k, stop_words, known)))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos")
     return (
         token_counts(docs, stop_words, lemmas)
@@ -139,6 +128,9 @@ def keyword_frequency(top: DataFrame) -> DataFrame:
 
 def lemmatize(docs: DataFrame, lemmas: DataFrame) -> DataFrame:
     """``(doc_id, text)``: cleaned text with each word replaced by its lemma."""
+    known = _in_rows(lemmas)
+    if known:
+        return docs.select("doc_id", wordwise.replaced_words(clean_text(F.col("text")), known).alias("text"))
     tokens = _by_document(docs).select(
         "doc_id", F.posexplode(F.split(clean_text(F.col("text")), " +")).alias("pos", "form")
     )
@@ -148,11 +140,11 @@ def lemmatize(docs: DataFrame, lemmas: DataFrame) -> DataFrame:
 
 
 class Dictionary(NamedTuple):
-    """Entries ``(key, surface, label)`` of a gazetteer, the words they begin with
-    (if they are few) and the number of words of the longest."""
+    """Entries ``(key, surface, label, first, words)`` of a gazetteer: what they are
+    compared by, their first word and number of words; and, if they are few, the
+    automaton of all of them as a broadcast variable."""
     entries: DataFrame
-    first_words: DataFrame | None
-    max_words: int
+    trie: Any
 
 
 def _separators(text: Column) -> Column:
@@ -165,52 +157,68 @@ def _separators(text: Column) -> Column:
 
 
 def dictionary(gazetteer: DataFrame) -> Dictionary:
-    """Distinct entries of ``gazetteer (surface, label)``, marked for broadcast if
-    measured small. An entry is compared by its words and what stands between
-    them; entries without a word are left out."""
+    """Distinct entries of ``gazetteer (surface, label)``, built into an automaton if
+    measured small. An entry is compared by its words and what stands between them;
+    entries without a word are left out."""
     parts = gazetteer.select(
         "surface", "label", words(F.col("surface")).alias("w"), _separators(F.col("surface")).alias("s")
-    ).filter(F.size("w") > 0)
+    ).filter(F.size("w") > 0).distinct()
     pieces = F.transform("w", lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.get("s", i), x)))
-    entries = parts.select(F.array_join(pieces, "").alias("key"), "surface", "label").distinct()
-    longest = parts.agg(F.max(F.size("w"))).first()[0] or 1
-    marked = broadcast_if_small(entries)
-    if marked is entries:
-        return Dictionary(entries, None, longest)
-    first = parts.select(F.get("w", F.lit(0)).alias("first")).distinct()
-    return Dictionary(marked, F.broadcast(first), longest)
+    entries = parts.select(F.array_join(pieces, "").alias("key"), "surface", "label",
+                           F.get("w", F.lit(0)).alias("first"), F.size("w").alias("words"))
+    if not is_small(parts):
+        return Dictionary(entries, None)
+    rows = sorted((r.w, r.s, (r.label, r.surface)) for r in parts.collect())
+    return Dictionary(entries, gazetteer.sparkSession.sparkContext.broadcast(wordwise.WordTrie(rows)))
+
+
+def _looked_up(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """``doc_id, pos, words, label, surface`` with a dictionary of any size: the words of
+    the texts meet first the words that entries begin with, which tell how long those
+    are, then, as runs of just those lengths, the entries."""
+    starts = entries.groupBy("first").agg(F.collect_set("words").alias("lengths"))
+    placed = docs.select("doc_id", words(F.col("text")).alias("w"), _separators(F.col("text")).alias("s")).select(
+        "doc_id", "w", "s", F.posexplode("w").alias("pos", "first"))
+    longest = entries.agg(F.max("words")).first()[0] or 1
+    cut = placed.select("doc_id", "pos", "first", *[F.slice(c, F.col("pos") + 1, longest).alias(c) for c in "ws"])
+    pieces = F.expr("transform(slice(w, 1, words), (x, i) -> if(i = 0, x, concat(get(s, i), x)))")
+    runs = cut.join(broadcast_if_small(starts), "first").select(
+        "doc_id", "pos", "w", "s", F.explode("lengths").alias("words")
+    ).where("words <= size(w)").select("doc_id", "pos", F.array_join(pieces, "").alias("key"))
+    return runs.join(entries.drop("first"), "key").select("doc_id", "pos", "words", "label", "surface")
 
 
 def gazetteer_entities(docs: DataFrame, known: Dictionary) -> DataFrame:
     """``(doc_id, pos, label, surface)`` for every dictionary entry in a text.
 
-    Runs of as many words as the longest entry has are looked up, each with what
-    stands between its words: whitespace of any kind matches whitespace, anything
-    else must be equal (``O'Brien``, ``AT&T``; no entry matches across a full stop
-    that it doesn't hold). With a small dictionary, words that begin no entry drop
-    out before the runs are formed; neither step shuffles the words. For texts that
-    are parts of documents, ``doc_id`` may be a struct.
+    Words and what stands between them must match, whitespace as whitespace, anything
+    else equal (``O'Brien``, ``AT&T``; no entry matches across a full stop that it
+    doesn't hold). Entries may overlap. A small dictionary is an automaton that reads
+    each text once; of a larger one, the entries meet the texts by joins. For texts
+    that are parts of documents, ``doc_id`` may be a struct.
     """
-    after = range(1, known.max_words)
-    shifted = [F.slice(c, F.lit(n + 1), F.greatest(F.size(c), F.lit(1))).alias(f"{c}{n}") for n in after for c in "sw"]
-    runs = F.arrays_zip("w", *shifted)
-    # at the end of a text the longer runs are null, and join nothing
-    surfaces = F.array("first", *[
-        F.concat("first", *[F.col(f"{c}{n}") for n in range(1, last + 1) for c in "sw"]) for last in after
-    ])
-    starts = (
-        docs.select("doc_id", words(F.col("text")).alias("w"), _separators(F.col("text")).alias("s"))
-        .select("doc_id", F.posexplode(runs).alias("pos", "run"))
-        .select("doc_id", "pos", F.col("run.w").alias("first"), *[f"run.{c}{n}" for n in after for c in "sw"])
-    )
-    if known.first_words is not None:
-        starts = starts.join(known.first_words, "first", "left_semi")
-    return (
-        starts.filter("first is not null")
-        .select("doc_id", "pos", F.explode(surfaces).alias("key"))
-        .join(known.entries, "key")
-        .select("doc_id", "pos", "label", "surface")
-    )
+    if known.trie is None:
+        return _looked_up(docs, known.entries).drop("words")
+    found = wordwise.mentions(F.col("text"), known.trie, longest=False)
+    return docs.select("doc_id", F.inline(found)).drop("words")
+
+
+def longest_mentions(docs: DataFrame, known: Dictionary) -> DataFrame:
+    """``(doc_id, pos, words, label, surface)``: mentions that don't overlap.
+
+    A text is read from the left; where entries begin, the one with the most words is
+    a mention, and reading goes on behind it. An entry with several labels or spellings
+    gives a row for each. Only mentions leave a task; with a large dictionary its
+    candidates meet by document (null ids are left out, equal ones are one document).
+    """
+    if known.trie is not None:
+        return docs.select("doc_id", F.inline(wordwise.mentions(F.col("text"), known.trie, longest=True)))
+    candidate = F.struct("pos", (-F.col("words")).alias("less"), "label", "surface")
+    found = _looked_up(docs, known.entries).where("doc_id is not null").groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(candidate)).alias("c"))
+    kept = wordwise.apart(F.col("c.pos"), F.transform("c.less", lambda x: -x))
+    return found.select("doc_id", F.explode(F.transform(kept, lambda i: F.get("c", i))).alias("m")).select(
+        "doc_id", "m.pos", (-F.col("m.less")).alias("words"), "m.label", "m.surface")
 
 
 def entity_lists(entities: DataFrame, distinct: bool = True) -> DataFrame:
@@ -230,6 +238,32 @@ def entity_lists(entities: DataFrame, distinct: bool = True) -> DataFrame:
     )
 
 
+def _lists(mentions: Column, distinct: bool) -> Column:
+    """``struct<names, organizations>`` from an array of mentions in text order."""
+    def surfaces(label: str) -> Column:
+        found = F.transform(F.filter(mentions, lambda m: m["label"] == label), lambda m: m["surface"])
+        return F.array_sort(F.array_distinct(found)) if distinct else found
+    return F.struct(surfaces("PERSON").alias("names"), surfaces("ORG").alias("organizations"))
+
+
+def with_names(docs: DataFrame, known: Dictionary, longest: bool = True) -> DataFrame:
+    """``docs (doc_id, text, ..)`` with ``names`` and ``organizations``, distinct and sorted:
+    of mentions that don't overlap, or of all entries. Only a large dictionary is joined."""
+    if known.trie is not None:
+        found = docs.withColumn("_m", wordwise.mentions(F.coalesce("text", F.lit("")), known.trie, longest))
+        return found.withColumn("_m", _lists(F.col("_m"), True)).select(
+            *docs.columns, F.col("_m.names").alias("names"), F.col("_m.organizations").alias("organizations"))
+    found = entity_lists((longest_mentions if longest else gazetteer_entities)(docs.select("doc_id", "text"), known))
+    return docs.join(found, "doc_id", "left").withColumns(
+        {c: F.coalesce(c, F.expr("cast(array() as array<string>)")) for c in ("names", "organizations")})
+
+
+def page_lists(pages: Column, known: Dictionary, longest: bool = True) -> Column:
+    """``array<struct<names, organizations>>``, every mention of each of an array of texts in
+    text order; for a small dictionary."""
+    return F.transform(wordwise.page_mentions(pages, known.trie, longest), lambda m: _lists(m, False))
+
+
 def _candidates(listed: Column, min_chars: int) -> Column:
     """``array<struct<pos, sentence, ranked>>``, in no useful order. Of equal
     sentences the first stands for all. Sorting puts them side by side, which
@@ -258,6 +292,9 @@ def frequency_summary(
     highest would not change the order but would blur ties. Repeated sentences
     count once, ties go by position, and the summary is in score order.
     """
+    known = _in_rows(lemmas)
+    if lemmas is None or known:
+        return docs.select("doc_id", wordwise.summary(F.col("text"), k, min_chars, stop_words, known).alias("summary"))
     by_doc = _by_document(docs).select("doc_id", sentences(F.col("text")).alias("sentences"))
 
     candidates = _candidates(F.col("sentences"), min_chars)
@@ -303,3 +340,17 @@ def frequency_summary(
     return chosen.select(
         "doc_id", F.when(F.size("picked") > 0, summary).otherwise(NO_SUMMARY).alias("summary")
     )
+
+
+def with_words(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None) -> DataFrame:
+    """``docs (doc_id, text, ..)`` with ``keyword_frequency array<struct<rank, lemma, n>>`` and
+    ``summary``. Only a large table of lemmas is joined."""
+    known = _in_rows(lemmas)
+    if lemmas is None or known:
+        return docs.withColumns({
+            "keyword_frequency": wordwise.top_words(F.col("text"), KEYWORDS_KEPT, stop_words, known),
+            "summary": wordwise.summary(F.col("text"), SUMMARY_SENTENCES, SUMMARY_MIN_CHARS, stop_words, known)})
+    texts = docs.select("doc_id", "text")
+    top = top_keywords(texts, stop_words=stop_words, lemmas=lemmas)
+    return docs.join(keyword_frequency(top), "doc_id", "left").join(
+        frequency_summary(texts, stop_words=stop_words, lemmas=lemmas), "doc_id", "left")

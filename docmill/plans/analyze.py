@@ -57,30 +57,28 @@ def analyze(
     lemmas: DataFrame | None = None,
     stop_words: Sequence[str] = lexical.STOP_WORDS,
     keywords: Sequence[str] = CLAUSE_KEYWORDS,
+    longest: bool = True,
 ) -> DataFrame:
     """``(doc_id, filename, pages array<string>)`` to analysis records.
 
     ``replies (doc_id, raw)`` are the model's verdicts and ``gazetteer (surface,
-    label)`` supplies names and organisations. All joins are on ``doc_id``.
+    label)`` supplies names and organisations, as mentions that don't overlap unless
+    ``longest`` is off. With dictionaries that are small or none, all but the replies
+    is computed in one scan of ``docs``, row by row; larger ones are joined on ``doc_id``.
     """
     text = F.array_join("pages", "\n", "")
-    texts = docs.select("doc_id", text.alias("text"))
-    top = lexical.top_keywords(texts, stop_words=stop_words, lemmas=lemmas)
-    joined = (
-        docs.select("doc_id", "filename", "pages")
-        .join(lexical.keyword_frequency(top), "doc_id", "left")
-        .join(lexical.frequency_summary(texts, stop_words=stop_words, lemmas=lemmas),
-              "doc_id", "left")
-    )
+    joined = docs.select("doc_id", "filename", "pages", text.alias("text"))
+    joined = lexical.with_words(joined, stop_words, lemmas)
     if gazetteer is None:
         joined = joined.withColumn("names", no_strings())
         page_names = page_orgs = None
     else:
         known = lexical.dictionary(gazetteer)
-        in_text = lexical.entity_lists(lexical.gazetteer_entities(texts, known))
-        joined = joined.join(in_text.select("doc_id", "names"), "doc_id", "left").withColumn(
-            "names", F.coalesce(F.col("names"), no_strings())
-        ).join(_page_entities(docs, known), "doc_id", "left")
+        joined = lexical.with_names(joined, known, longest)
+        if known.trie is not None:
+            joined = joined.withColumn("page_entities", lexical.page_lists(F.col("pages"), known, longest))
+        else:
+            joined = joined.join(_page_entities(docs, known, longest), "doc_id", "left")
 
         def page_names(i):
             return F.get("page_entities", i)["names"]
@@ -99,8 +97,7 @@ def analyze(
         None if page_orgs is None else page_orgs(i),
         keywords,
     ))
-    # the joined text is built after the shuffles, which carry the pages only
-    found = joined.withColumn("text", text).select(
+    found = joined.select(
         "doc_id", "filename", results.alias("results"), "keyword_frequency", "summary", "names",
         F.size("pages").alias("total_pages"),
         parse_verdict(F.col("raw")).alias("verdict"),
@@ -132,13 +129,14 @@ def analyze(
     return counted.select("doc_id", "filename", "results", analytics.alias("analytics")).to(ANALYSIS)
 
 
-def _page_entities(docs: DataFrame, known: lexical.Dictionary) -> DataFrame:
+def _page_entities(docs: DataFrame, known: lexical.Dictionary, longest: bool) -> DataFrame:
     """``(doc_id, page_entities array<struct<names, organizations>>)``, one entry
     per page in page order, so that page ``i`` finds its own by position."""
     pages = pages_op.explode_pages(docs).select(
         F.struct("doc_id", "page").alias("doc_id"), "text"
     )
-    lists = lexical.entity_lists(lexical.gazetteer_entities(pages, known), distinct=False)
+    found_in = lexical.longest_mentions if longest else lexical.gazetteer_entities
+    lists = lexical.entity_lists(found_in(pages, known), distinct=False)
     found = lists.select("doc_id.doc_id", "doc_id.page", F.struct("names", "organizations").alias("e"))
     numbers = docs.select("doc_id", F.explode(F.transform("pages", lambda _, i: i + 1)).alias("page"))
     return numbers.join(found, ["doc_id", "page"], "left").groupBy("doc_id").agg(

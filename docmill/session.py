@@ -37,19 +37,23 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20
-) -> DataFrame:
-    """Mark ``df`` for broadcast only after measuring that it is small.
-
-    The check reads at most ``max_rows + 1`` rows. A larger table comes back
-    unmarked, and the join then shuffles both sides (adaptive execution splits
-    its skewed partitions).
-    """
+def is_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> bool:
+    """Whether a table may be broadcast; reads at most ``max_rows + 1`` rows of it."""
     width = F.octet_length(F.to_json(F.struct(*df.columns)))
     rows, size = (
         df.limit(max_rows + 1)
         .agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0)))
         .first()
     )
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+    return rows <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20
+) -> DataFrame:
+    """Mark ``df`` for broadcast only after measuring that it is small.
+
+    A larger table comes back unmarked, and the join then shuffles both sides
+    (adaptive execution splits its skewed partitions).
+    """
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df

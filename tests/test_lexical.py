@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,7 @@ def test_lemma_join_is_the_same_without_broadcast(spark, docs, monkeypatch):
     df, _ = docs
     lemmas = spark.createDataFrame([("payment", "pay"), ("alpha", "beta")], "form string, lemma string")
     wanted = {tuple(r) for r in lexical.top_keywords(df, lemmas=lemmas).collect()}
+    monkeypatch.setattr(lexical, "is_small", lambda d: False)
     monkeypatch.setattr(lexical, "broadcast_if_small", lambda d: d.hint("merge"))
     assert {tuple(r) for r in lexical.top_keywords(df, lemmas=lemmas).collect()} == wanted
 
@@ -76,6 +79,7 @@ def test_gazetteer(spark, small, monkeypatch):
         [("Ann Bell", "PERSON"), ("Ann", "PERSON"), ("Acme Corp", "ORG"), ("Ann", "PERSON")],
         "surface string, label string")
     if not small:
+        monkeypatch.setattr(lexical, "is_small", lambda d: False)
         monkeypatch.setattr(lexical, "broadcast_if_small", lambda d: d)
     found = lexical.gazetteer_entities(df, lexical.dictionary(entries))
     assert sorted((r.pos, r.surface) for r in found.collect()) == [
@@ -96,6 +100,7 @@ def test_gazetteer_takes_any_length_and_spelling(spark, small, monkeypatch):
          ("two three four five six seven", "ORG"), ("Acme  Inc.", "ORG"), ("...", "ORG"), (None, "ORG")],
         "surface string, label string")
     if not small:
+        monkeypatch.setattr(lexical, "is_small", lambda d: False)
         monkeypatch.setattr(lexical, "broadcast_if_small", lambda d: d)
     found = lexical.gazetteer_entities(df, lexical.dictionary(entries))
     assert sorted((r.doc_id, r.pos, r.surface) for r in found.collect()) == [
@@ -103,6 +108,82 @@ def test_gazetteer_takes_any_length_and_spelling(spark, small, monkeypatch):
         (2, 1, "two three four five six seven"), (2, 7, "Acme  Inc."), (4, 0, "Ann Bell")]
 
 
+MENTIONED = [
+    (1, "New York Times said New York Post and York Times", [(0, "New York Times"), (4, "New York"), (8, "York Times")]),
+    (2, "a b c d a b", [(0, "a b"), (2, "c d"), (4, "a b")]),
+    (3, "York  New\tYork\nTimes", [(0, "York"), (1, "New York Times")]),
+    (4, "", []), (5, None, []), (6, "nothing here", []),
+]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_mentions_are_leftmost_longest(spark, small, monkeypatch):
+    df = spark.createDataFrame([r[:2] for r in MENTIONED], "doc_id int, text string")
+    entries = spark.createDataFrame(
+        [("New York", "ORG"), ("New York Times", "ORG"), ("York Times", "ORG"), ("York", "PERSON"), ("a b", "PERSON"),
+         ("b c", "ORG"), ("b c d", "ORG"), ("c d", "ORG"), ("a b", "ORG")], "surface string, label string")
+    if not small:
+        monkeypatch.setattr(lexical, "is_small", lambda d: False)
+        monkeypatch.setattr(lexical, "broadcast_if_small", lambda d: d)
+    known = lexical.dictionary(entries)
+    found = lexical.longest_mentions(df, known)
+    got = {(r.doc_id, r.pos, r.surface) for r in found.collect()}
+    assert got == {(d, *m) for d, _, ms in MENTIONED for m in ms}
+    assert sorted((r.pos, r.label) for r in found.where("doc_id = 2").collect()) == [
+        (0, "ORG"), (0, "PERSON"), (2, "ORG"), (4, "ORG"), (4, "PERSON")]
+    named = {r.doc_id: (r.names, r.organizations) for r in lexical.with_names(df, known).collect()}
+    assert named[1] == ([], ["New York", "New York Times", "York Times"]) and named[5] == ([], [])
+    every = {r.doc_id: r.organizations for r in lexical.with_names(df, known, longest=False).collect()}
+    assert every[2] == ["a b", "b c", "b c d", "c d"]
+    assert lexical.longest_mentions(df, lexical.dictionary(entries.limit(0))).count() == 0
+    if small:       # nothing but mentions leaves a task, and nothing is shuffled
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_random_mentions_against_a_plain_walk(spark):
+    rng = random.Random(9)
+    entries = {tuple(rng.choices("abcd", k=rng.randrange(1, 5))) for _ in range(25)}
+    texts = {k: rng.choices("abcde", k=40) for k in range(60)}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id int, text string")
+    table = spark.createDataFrame([(" ".join(e), "ORG") for e in entries], "surface string, label string")
+    want = set()
+    for k, w in texts.items():
+        at = 0
+        while at < len(w):
+            n = max((len(e) for e in entries if tuple(w[at:at + len(e)]) == e), default=0)
+            if n:
+                want.add((k, at, n))
+            at += n or 1
+    got = {(r.doc_id, r.pos, r.words) for r in lexical.longest_mentions(df, lexical.dictionary(table)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_lemmas_in_and_out_of_the_row(spark, docs, small, monkeypatch):
+    df, texts = docs
+    lemmas = spark.createDataFrame([("payment", "pay"), ("alpha", "beta"), ("the", "a"), ("pay", "x"), (None, "y"), ("z", None)],
+                                   "form string, lemma string")
+    if not small:
+        monkeypatch.setattr(lexical, "is_small", lambda d: False)
+    frames = {
+        "counts": lexical.token_counts(df, lemmas=lemmas), "text": lexical.lemmatize(df, lemmas),
+        "summary": lexical.frequency_summary(df, lemmas=lemmas), "top": lexical.top_keywords(df, lemmas=lemmas)}
+    got = {name: sorted(map(tuple, f.collect()), key=repr) for name, f in frames.items()}
+    assert got["counts"] and got["text"] and got["top"] and len(got["summary"]) == len(texts)
+    LEMMA_RESULTS.setdefault("first", got)
+    assert LEMMA_RESULTS["first"] == got
+
+
+LEMMA_RESULTS = {}
+
+
+def test_rows_without_an_id_stay_in_the_row(spark):
+    df = spark.createDataFrame([(None, "alpha beta alpha"), (None, "gamma words and more words here"), (1, None), (1, "delta")],
+                               "doc_id int, text string")
+    assert sorted((r.lemma, r.n) for r in lexical.top_keywords(df, k=1).collect()) == [("alpha", 2), ("delta", 1), ("words", 2)]
+    assert lexical.frequency_summary(df).count() == 4
+
+
 def test_embedding_and_chunks(spark, docs):
     df, texts = docs
     long = "".join(chr(97 + i % 26) for i in range(2701))

@@ -133,6 +133,30 @@ def gazetteer_entities(spark, sf_dir):
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+# candidates are all entries; a walk from the left takes the longest at each place
+# where it arrives and goes on behind it
+MENTIONS = f"""el AS (SELECT *, len(regexp_extract_all(surface, '{WORDS}')) AS words FROM e),
+at_place AS (SELECT doc_id, pos, max(words) AS words FROM el GROUP BY doc_id, pos),
+nx AS (SELECT a.doc_id, a.pos, a.words, b.pos AS nxt FROM at_place a ASOF LEFT JOIN at_place b ON a.doc_id = b.doc_id AND a.pos + a.words <= b.pos),
+walk AS (SELECT * FROM nx WHERE (doc_id, pos) IN (SELECT (doc_id, min(pos)) FROM at_place GROUP BY doc_id)
+ UNION ALL SELECT nx.* FROM walk JOIN nx ON nx.doc_id = walk.doc_id AND nx.pos = walk.nxt),
+m AS (SELECT el.* FROM walk JOIN el USING (doc_id, pos, words))"""
+
+
+@query("ex8_longest_mentions", f"WITH RECURSIVE {DOCS}, {GAZETTEER}, {ENTITIES}, {MENTIONS} SELECT doc_id, pos, words, label, surface FROM m")
+def longest_mentions(spark, sf_dir):
+    return lexical.longest_mentions(documents(spark, sf_dir), known(spark, sf_dir)).withColumns(
+        {c: F.col(c).cast("bigint") for c in ("pos", "words")})
+
+
+@query("ex9_page_mentions", f"""WITH RECURSIVE {PAGES}, pd AS (SELECT {{'doc_id': doc_id, 'page': page}} AS doc_id, text FROM p),
+ {GAZETTEER}, {ENTITIES.replace(" FROM d)", " FROM pd)")}, {MENTIONS} SELECT doc_id.doc_id AS doc_id, doc_id.page AS page, pos, label, surface FROM m""")
+def page_mentions(spark, sf_dir):
+    pages = _page_table(spark, sf_dir).select(F.struct("doc_id", "page").alias("doc_id"), "text")
+    return lexical.longest_mentions(pages, known(spark, sf_dir)).select(
+        "doc_id.doc_id", F.col("doc_id.page").cast("bigint").alias("page"), F.col("pos").cast("bigint").alias("pos"), "label", "surface")
+
+
 @query("ex9_page_entities", f"""WITH {PAGES} SELECT doc_id, page, text,
  array_to_string({sql_emails('text')}, '|') AS emails, array_to_string({sql_phones('text')}, '|') AS phones,
  {_present_sql('text')} AS clauses_found, array_to_string({sql_signers('text')}, '|') AS signers FROM p""")
@@ -180,13 +204,7 @@ s AS (SELECT *, least(100, least(40, 2 * total_names) + least(30, 4 * total_clau
 
 
 def scored(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    names = lexical.entity_lists(
-        lexical.gazetteer_entities(docs, known(spark, sf_dir))
-    ).select("doc_id", "names")
-    named = docs.join(names, "doc_id", "left").withColumn(
-        "names", F.coalesce("names", F.expr("cast(array() as array<string>)")))
-    return rule_scores(named)
+    return rule_scores(lexical.with_names(documents(spark, sf_dir), known(spark, sf_dir), longest=False))
 
 
 @query("sc1_legality_score", f"""WITH {SCORES} SELECT doc_id, total_names, total_emails, total_phones,

@@ -10,7 +10,7 @@ from docmill.plans.corpus_report import corpus_report
 from docmill.session import work_dir
 from docmill.sources import summary
 from workload.extraction import (
-    ENTITIES, GAZETTEER, NAMES, TOTAL_CLAUSES, VERDICTS, COUNTS, gazetteer, _counts_sql, _present_sql,
+    ENTITIES, GAZETTEER, MENTIONS, NAMES, TOTAL_CLAUSES, VERDICTS, COUNTS, gazetteer, _counts_sql, _present_sql,
 )
 from workload.registry import (
     DOCS, ORACLES, FILENAME, TEXT, REPLY, documents, query, sql_emails, sql_not_blank, sql_phones, sql_signers,
@@ -128,7 +128,7 @@ d AS (SELECT doc_id, filename, raw, list_filter(string_split(t, chr(10)), lambda
  array_to_string(list_filter(string_split(t, chr(10)), lambda p: {sql_not_blank('p')}), chr(10)) AS text FROM d0)"""
 
 
-@query("analyze_documents", f"""WITH {JOINED}, {GAZETTEER}, {ENTITIES}, {NAMES}, {VERDICTS}, {FREQUENCY_SUMMARY}, {COUNTS},
+@query("analyze_documents", f"""WITH RECURSIVE {JOINED}, {GAZETTEER}, {ENTITIES}, {MENTIONS}, {NAMES.replace("FROM e ", "FROM m ")}, {VERDICTS}, {FREQUENCY_SUMMARY}, {COUNTS},
 kw AS (SELECT doc_id, lemma, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS rank FROM n),
 ka AS (SELECT doc_id, string_agg(lemma || '=' || cast(n AS string), '|' ORDER BY rank) AS keywords FROM kw WHERE rank <= 10 GROUP BY doc_id),
 pp AS (SELECT doc_id, unnest(pages) AS text FROM d),
