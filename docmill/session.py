@@ -34,7 +34,20 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = os.path.join(tempfile.gettempdir(), "docmill-work")
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def clean_work_dirs(spark: SparkSession) -> None:
+    """Delete the work folders that this process has named so far. Tables read from
+    them, and DataFrames that rest on those, can't be used any more."""
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> bool:

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from docmill.session import local_session  # noqa: E402
+from docmill.session import clean_work_dirs, local_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = local_session()
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    clean_work_dirs(session)
 
 
 @pytest.fixture(scope="session")

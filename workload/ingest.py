@@ -14,7 +14,7 @@ from docmill.functions.text import preview
 from docmill.operators import pages as pages_op
 from docmill.session import work_dir
 from docmill.sources import files, store
-from docmill.streaming.ingest import ingest
+from docmill.streaming.ingest import arriving_files, ingest, named_records, newest_files
 from workload.extraction import PAGES, _page_table
 from workload.registry import DOCS, FILENAME, documents, query, sql_not_blank, sql_strip, table
 
@@ -184,14 +184,36 @@ def ingest_batch(spark, sf_dir):
 @query("io9_ingest_stream", INGESTED)
 def ingest_stream(spark, sf_dir):
     root = work_dir(spark, "io9s")
-    pages = spark.readStream.schema("page_id bigint, url string, html string").option(
-        "pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    # a pattern, as the table may be a file or a folder of files
+    pages = spark.readStream.schema("page_id bigint, url string, html string").parquet(f"{sf_dir}/pages.parque[t]")
     rows = pages.select(F.col("url").alias("filename"), F.encode("html", "UTF-8").alias("content"))
     ingest(rows, root, f"{root}/checkpoint",
            lambda batch: files.to_records(_text_named(batch))).awaitTermination()
     return _ingested(store.read(spark, root))
 
 
+@query("io9_ingest_files", f"""SELECT 'page' || cast(page_id AS string) || '.txt' AS filename,
+ {sql_strip("CASE WHEN page_id % 3 = 2 THEN 'new ' || html ELSE html END")} AS text FROM pages""")
+def ingest_files(spark, sf_dir):
+    """Real files in two waves, the stream restarted between: of every third page the
+    older version comes late, of every third the same file again, of the rest a newer one."""
+    root = work_dir(spark, "io9f")
+    folder, kind = f"{root}/in", F.col("page_id") % 3
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    waves = (
+        pages.select("page_id", F.when(kind == 0, 2).otherwise(1).alias("version"), "html"),
+        pages.select("page_id", F.when(kind == 2, 3).otherwise(1).alias("version"), F.concat(
+            F.when(kind == 0, "old ").when(kind == 2, "new ").otherwise(""), "html").alias("html")),
+    )
+    for number, wave in enumerate(waves):
+        wave.withColumn("wave", F.lit(number)).write.mode("append").partitionBy("wave", "version", "page_id").text(folder)
+        stream = arriving_files(
+            spark, folder, name=lambda p: F.concat(F.lit("page"), F.regexp_extract(p, "page_id=([0-9]+)", 1), F.lit(".txt")),
+            version=lambda p: F.regexp_extract(p, "version=([0-9]+)", 1))
+        ingest(newest_files(stream), f"{root}/store", f"{root}/checkpoint", named_records).awaitTermination()
+    return store.read(spark, f"{root}/store").select("filename", "text")
+
+
 @query("io9_upload_reply", f"""SELECT url AS filename, substring({sql_strip('html')}, 1, 500) AS text_preview,
  CASE WHEN lower(regexp_extract(url, '[^.]*$')) IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp', 'gif') THEN 0 ELSE 1 END AS decoded,
  0 AS ocr_texts_count FROM (SELECT url, CASE WHEN lower(regexp_extract(url, '[^.]*$')) IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp', 'gif') THEN '' ELSE html END AS html FROM pages)""")
