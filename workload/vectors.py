@@ -10,6 +10,8 @@ from docmill.operators.search import (
 from docmill.functions.text import preview
 from docmill.operators.pages import page_tags
 from docmill.plans.search import search_documents
+from docmill.session import work_dir
+from docmill.sources import substring_index
 from workload.registry import DOCS, documents, query, sql_strip, table
 
 _SUM = "list_sum(list_transform(string_split({0}, ''), lambda c: unicode(c)))"
@@ -157,6 +159,21 @@ def substring_search(spark, sf_dir):
     return contains_search(table(spark, sf_dir, "documents"), "OF the")
 
 
+_SOUGHT = """SELECT item_id AS query_id, substring(text, cast(1 + item_id % 30 as int), cast(3 + item_id % 12 as int)) AS query FROM benchmark
+ UNION ALL SELECT -1, 'É' UNION ALL SELECT -2, 'Of' UNION ALL SELECT -3, 'qq一q' UNION ALL SELECT -4, ''"""
+
+
+@query("pf3_index_search", f"""WITH q AS ({_SOUGHT}), h AS (SELECT query_id, doc_id, text,
+ row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM q JOIN documents ON query <> '' AND contains(lower(text), lower(query)))
+SELECT query_id, rank, doc_id, text FROM h WHERE rank <= 5""")
+def index_search(spark, sf_dir):
+    """A table of substrings against trigram posting lists of all documents."""
+    docs, path = table(spark, sf_dir, "documents"), work_dir(spark, "pf3")
+    substring_index.build(docs.select("doc_id", "text"), path)
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    return substring_index.search(docs, path, spark.sql(_SOUGHT)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("tk5_first_matches", "SELECT doc_id, text FROM documents WHERE contains(lower(text), 'é') ORDER BY doc_id LIMIT 100")
 def first_matches(spark, sf_dir):
     return contains_search(table(spark, sf_dir, "documents"), "É", k=100)
