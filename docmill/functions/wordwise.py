@@ -24,6 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _WORD = re.compile(r"\w+")
 _CUT = re.compile(r"(\w+)")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+_GAP, _EDGES = re.compile(r"\s+"), re.compile(r"^\W+|\W+$")
 
 
 def _column(fn: Callable, kind: str, arrow: pa.DataType):
@@ -79,9 +80,33 @@ def top_words(text: Column, k: int, stop: Sequence[str], lemmas=None) -> Column:
     return _column(run, "array<struct<rank:int,lemma:string,n:bigint>>", _RANKED)(text)
 
 
-def best_sentences(text: str, k: int, min_chars: int, stop: frozenset[str], lemmas: dict[str, str]) -> str:
+def sentence_list(text: str, abbreviations: frozenset[str] = frozenset()) -> list[str]:
+    """Split after ``.``, ``!`` or ``?`` and whitespace, but not after an abbreviation's stop."""
+    text = text.strip()
+    if not abbreviations:
+        return _SENTENCE_END.split(text)
+    out, start, token = [], 0, 0
+    for gap in _GAP.finditer(text):
+        last = text[gap.start() - 1]
+        word = _EDGES.sub("", text[token:gap.start()]).lower()
+        stopped = gap.start() > 1 and _WORD.match(text[gap.start() - 2])
+        if last in "!?" or last == "." and not (stopped and word in abbreviations):
+            out.append(text[start:gap.start()])
+            start = gap.end()
+        token = gap.end()
+    out.append(text[start:])
+    return out
+
+
+def split_sentences(text: Column, abbreviations) -> Column:
+    """``array<string>``; ``abbreviations`` is a broadcast set."""
+    return _column(lambda value: sentence_list(value, abbreviations.value), "array<string>", pa.list_(pa.string()))(text)
+
+
+def best_sentences(text: str, k: int, min_chars: int, stop: frozenset[str], lemmas: dict[str, str],
+                   abbreviations: frozenset[str] = frozenset()) -> str:
     """The ``k`` sentences with the most frequent words, best first; ties by place."""
-    sentences = _SENTENCE_END.split(text.strip())
+    sentences = sentence_list(text, abbreviations)
     counted: Counter[str] = Counter()
     for word, n in Counter(_WORD.findall(text)).items():
         if (low := word.lower()) not in stop:
@@ -94,11 +119,12 @@ def best_sentences(text: str, k: int, min_chars: int, stop: frozenset[str], lemm
     return " ".join(sorted(scores, key=lambda s: -scores[s])[:k]) or NO_SUMMARY
 
 
-def summary(text: Column, k: int, min_chars: int, stop: Sequence[str], lemmas=None) -> Column:
+def summary(text: Column, k: int, min_chars: int, stop: Sequence[str], lemmas=None, abbreviations=None) -> Column:
     stop = frozenset(stop)
 
     def run(value):
-        return best_sentences(value, k, min_chars, stop, lemmas.value if lemmas else {})
+        return best_sentences(value, k, min_chars, stop, lemmas.value if lemmas else {},
+                              abbreviations.value if abbreviations else frozenset())
     return F.coalesce(_column(run, "string", pa.string())(text), F.lit(NO_SUMMARY))
 
 

@@ -283,18 +283,23 @@ def _candidates(listed: Column, min_chars: int) -> Column:
 
 def frequency_summary(
     docs: DataFrame, k: int = SUMMARY_SENTENCES, min_chars: int = SUMMARY_MIN_CHARS,
-    stop_words: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None,
+    stop_words: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None, abbreviations=None,
 ) -> DataFrame:
     """``(doc_id, summary)``: the ``k`` sentences with the most frequent words.
 
     A sentence scores the sum, over its words, of the word's count in the
     document (stop words count 0). Counts stay integers: dividing all by the
     highest would not change the order but would blur ties. Repeated sentences
-    count once, ties go by position, and the summary is in score order.
+    count once, ties go by position, and the summary is in score order. Sentences end
+    by the fixed rule, or, given ``abbreviations`` (see ``boundaries.known_words``), not
+    behind those.
     """
     known = _in_rows(lemmas)
     if lemmas is None or known:
-        return docs.select("doc_id", wordwise.summary(F.col("text"), k, min_chars, stop_words, known).alias("summary"))
+        return docs.select("doc_id", wordwise.summary(
+            F.col("text"), k, min_chars, stop_words, known, abbreviations).alias("summary"))
+    if abbreviations is not None:
+        raise ValueError("abbreviations need a table of lemmas that is small, or none")
     by_doc = _by_document(docs).select("doc_id", sentences(F.col("text")).alias("sentences"))
 
     candidates = _candidates(F.col("sentences"), min_chars)

@@ -16,10 +16,12 @@ from docmill.session import broadcast_if_small
 
 
 def heuristic_summary(
-    text: Column, k: int = HEURISTIC_SENTENCES, keywords: Sequence[str] = SUMMARY_KEYWORDS
+    text: Column, k: int = HEURISTIC_SENTENCES, keywords: Sequence[str] = SUMMARY_KEYWORDS,
+    listed: Column | None = None,
 ) -> Column:
     """The ``k`` best sentences, best first: word count, plus a bonus for each
-    keyword the sentence contains as a substring. Ties go by position."""
+    keyword the sentence contains as a substring. Ties go by position. ``listed``
+    gives the sentences if not the fixed rule shall (see ``boundaries.sentences``)."""
     def scored(sentence: Column, pos: Column) -> Column:
         score = F.size(split_space(sentence))
         lowered = F.lower(sentence)
@@ -27,7 +29,7 @@ def heuristic_summary(
             score = score + F.when(F.contains(lowered, F.lit(kw)), HEURISTIC_BONUS).otherwise(0)
         return F.struct((-score).alias("order"), pos.alias("pos"), sentence.alias("s"))
 
-    best = F.slice(F.array_sort(F.transform(sentences(text), scored)), 1, k)
+    best = F.slice(F.array_sort(F.transform(sentences(text) if listed is None else listed, scored)), 1, k)
     return F.array_join(F.transform(best, lambda x: x["s"]), " ")
 
 

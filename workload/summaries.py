@@ -6,7 +6,8 @@ from docmill.fixed_values import (
     DOCUMENT_NOT_FOUND, NO_DOCUMENT_OR_TEXT, NOTHING_TO_ANSWER, NOTHING_TO_SUMMARIZE,
     SUMMARY_KEYWORDS,
 )
-from docmill.operators import lexical, summaries
+from docmill.functions.text import split_space
+from docmill.operators import boundaries, lexical, summaries
 from docmill.operators.annotate import annotate
 from workload.registry import (
     DOCS, NOT_WS, WORDS, documents, query, sql_list, sql_not_blank, sql_sentences, table,
@@ -32,6 +33,37 @@ def frequency_summary(spark, sf_dir):
     return lexical.frequency_summary(documents(spark, sf_dir))
 
 
+# texts that hold abbreviations before small letters, digits and names
+_SHORT = "text || ' Art. 5 binds Acme Inc. and others. See Art. ' || cast(doc_id as string) || ' of Dr. Bell! It ends. Now.'"
+_TOKENS = f"""t AS (SELECT doc_id, regexp_extract_all(text, '{NOT_WS}+') AS t FROM (SELECT doc_id, {_SHORT} AS text FROM documents)),
+p AS (SELECT doc_id, i, t[i] AS token, t[i + 1] AS after FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM t)),
+w AS (SELECT *, lower(regexp_replace(token, '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g')) AS word,
+ regexp_matches(token, '[\\p{{L}}\\p{{N}}_]\\.$') AS dot, regexp_matches(coalesce(after, ''), '^[\\p{{Ll}}\\p{{Nd}}]') AS goes FROM p),
+c AS (SELECT word, count(*) FILTER (dot) AS n_dot, count(*) FILTER (NOT dot) AS n_plain, count(*) FILTER (dot AND goes) AS n_on
+ FROM w WHERE word <> '' GROUP BY word)"""
+
+
+def _short_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_SHORT).alias("text"))
+
+
+@query("sm1_abbreviation_counts", f"WITH {_TOKENS} SELECT word, n_dot, n_plain, n_on FROM c")
+def abbreviation_counts(spark, sf_dir):
+    return boundaries.abbreviation_counts(_short_texts(spark, sf_dir))
+
+
+@query("sm1_learnt_sentences", f"""WITH {_TOKENS},
+a AS (SELECT word FROM c WHERE n_dot >= 5 AND length(word) <= 8 AND n_dot >= 0.9 * (n_dot + n_plain) AND n_on >= 0.3 * n_dot),
+e AS (SELECT doc_id, i, token, coalesce(sum(CASE WHEN regexp_matches(token, '[.!?]$') AND NOT (dot AND word IN (SELECT word FROM a)) THEN 1 ELSE 0 END)
+ OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM w)
+SELECT doc_id, pos::BIGINT AS pos, string_agg(token, ' ' ORDER BY i) AS sentence FROM e GROUP BY doc_id, pos""")
+def learnt_sentences(spark, sf_dir):
+    docs = _short_texts(spark, sf_dir)
+    known = boundaries.known_words(boundaries.abbreviations(boundaries.abbreviation_counts(docs)))
+    listed = docs.select("doc_id", F.posexplode(boundaries.sentences(F.col("text"), known)).alias("pos", "s"))
+    return listed.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.array_join(split_space(F.col("s")), " ").alias("sentence"))
+
+
 @query("tk2_summary_sentence", f"""WITH {DOCS}, {FREQUENCY_SUMMARY} SELECT d.doc_id, coalesce(s, 'No summary available.') AS summary
  FROM d LEFT JOIN (SELECT * FROM sr WHERE rank = 1) x ON d.doc_id = x.doc_id""")
 def summary_sentence(spark, sf_dir):
