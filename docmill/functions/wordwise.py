@@ -34,6 +34,24 @@ def _column(fn: Callable, kind: str, arrow: pa.DataType):
     return F.arrow_udf(run, kind)
 
 
+class Lemmas:
+    """A dictionary of lemmas and, for forms it lacks, suffix rules ``suffix -> (cut, add)``."""
+
+    def __init__(self, known: dict[str, str], rules: dict[str, tuple[int, str]]):
+        self.known, self.rules = known, rules
+        self.longest = max(map(len, rules), default=0)
+
+    def get(self, form: str, default: str) -> str:
+        found = self.known.get(form)
+        if found is not None:
+            return found
+        for size in range(min(self.longest, len(form)), 0, -1):
+            rule = self.rules.get(form[-size:])
+            if rule is not None:
+                return form[:len(form) - rule[0]] + rule[1] or default
+        return default
+
+
 _COUNTS = pa.list_(pa.struct([("lemma", pa.string()), ("n", pa.int64()), ("first_pos", pa.int32())]))
 
 

@@ -58,14 +58,19 @@ def _lemma_of(tokens: DataFrame, form: str, lemmas: DataFrame | None) -> DataFra
     )
 
 
-def _in_rows(lemmas: DataFrame | None):
-    """A broadcast dictionary ``form -> lemma`` if ``lemmas`` is small, else None."""
+def _in_rows(lemmas: DataFrame | None, rules: DataFrame | None = None):
+    """A broadcast dictionary ``form -> lemma`` if ``lemmas`` is small, else None; with
+    suffix ``rules`` (see ``lemma_rules``) for the forms that it lacks."""
     if lemmas is None:
         return None
     table = lemmas.where("form is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))
-    if not is_small(table):
+    if not is_small(table) or rules is not None and not is_small(rules):
+        if rules is not None:
+            raise ValueError("rules need tables that are small; see lemma_rules.apply for larger ones")
         return None
     known = {r.form: r.lemma for r in table.collect() if r.lemma is not None}
+    if rules is not None:
+        known = wordwise.Lemmas(known, {r.suffix: (r.cut, r.add) for r in rules.collect()})
     return lemmas.sparkSession.sparkContext.broadcast(known)
 
 
@@ -83,10 +88,11 @@ def keyword_tokens(
 
 
 def token_counts(
-    docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None
+    docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None,
+    rules: DataFrame | None = None,
 ) -> DataFrame:
     """``(doc_id, lemma, n, first_pos)``; with a small dictionary or none nothing is shuffled."""
-    known = _in_rows(lemmas)
+    known = _in_rows(lemmas, rules)
     if lemmas is None or known:
         return docs.select("doc_id", F.inline(wordwise.word_counts(F.col("text"), stop_words, known)))
     return keyword_tokens(docs, stop_words, lemmas).groupBy("doc_id", "lemma").agg(
@@ -105,9 +111,10 @@ def max_count(docs: DataFrame, counts: DataFrame) -> DataFrame:
 def top_keywords(
     docs: DataFrame, k: int = KEYWORDS_KEPT, stop_words: Sequence[str] = STOP_WORDS,
     lemmas: DataFrame | None = None,
+    rules: DataFrame | None = None,
 ) -> DataFrame:
     """``(doc_id, rank, lemma, n)``: most common lemmas, ties by first occurrence."""
-    known = _in_rows(lemmas)
+    known = _in_rows(lemmas, rules)
     if lemmas is None or known:
         return docs.select("doc_id", F.inline(wordwise.top_words(F.col("text"), k, stop_words, known)))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos")
@@ -126,9 +133,9 @@ def keyword_frequency(top: DataFrame) -> DataFrame:
     )
 
 
-def lemmatize(docs: DataFrame, lemmas: DataFrame) -> DataFrame:
+def lemmatize(docs: DataFrame, lemmas: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """``(doc_id, text)``: cleaned text with each word replaced by its lemma."""
-    known = _in_rows(lemmas)
+    known = _in_rows(lemmas, rules)
     if known:
         return docs.select("doc_id", wordwise.replaced_words(clean_text(F.col("text")), known).alias("text"))
     tokens = _by_document(docs).select(
@@ -284,6 +291,7 @@ def _candidates(listed: Column, min_chars: int) -> Column:
 def frequency_summary(
     docs: DataFrame, k: int = SUMMARY_SENTENCES, min_chars: int = SUMMARY_MIN_CHARS,
     stop_words: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None, abbreviations=None,
+    rules: DataFrame | None = None,
 ) -> DataFrame:
     """``(doc_id, summary)``: the ``k`` sentences with the most frequent words.
 
@@ -294,7 +302,7 @@ def frequency_summary(
     by the fixed rule, or, given ``abbreviations`` (see ``boundaries.known_words``), not
     behind those.
     """
-    known = _in_rows(lemmas)
+    known = _in_rows(lemmas, rules)
     if lemmas is None or known:
         return docs.select("doc_id", wordwise.summary(
             F.col("text"), k, min_chars, stop_words, known, abbreviations).alias("summary"))

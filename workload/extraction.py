@@ -6,7 +6,7 @@ from docmill.fixed_values import CLAUSE_KEYWORDS, QUESTION_LABEL, ANSWER_LABEL,
 from docmill.functions import extract, score
 from docmill.functions.text import clean_text, words
 from docmill.functions.verdict import parse_verdict
-from docmill.operators import lexical, pages as pages_op
+from docmill.operators import lemma_rules, lexical, pages as pages_op
 from docmill.plans.analyze import rule_scores
 from workload.registry import (
     DOCS, WORDS, WS, documents, query, sql_dates, sql_emails, sql_keyword_count, sql_list,
@@ -298,6 +298,38 @@ def lemmatized(spark, sf_dir):
     return lexical.lemmatize(documents(spark, sf_dir), lemma_table(spark, sf_dir))
 
 
+# a dictionary with three endings, and words that stay as they are
+_ENDING = """case when form like '%es' then substring(form, 1, length(form) - 2) || 'a'
+ when form like '%s' then substring(form, 1, length(form) - 1) else form end"""
+_RULES = f"""en AS (SELECT form, {_ENDING} AS lemma FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORDS}')) AS form FROM benchmark) WHERE length(form) > 3),
+ed AS (SELECT form, length(form) - common AS cut, substring(lemma, common + 1) AS add FROM (SELECT *, list_max([0] || list_filter(
+ range(1, least(length(form), length(lemma)) + 1), lambda n: substring(form, 1, n) = substring(lemma, 1, n))) AS common FROM en)),
+sx AS (SELECT right(form, n) AS suffix, cut, add FROM (SELECT *, unnest(range(greatest(cut, 1), greatest(cut, 1, least(length(form), 5)) + 1)) AS n FROM ed WHERE cut <= 5)),
+ru AS (SELECT suffix, cut, add, votes FROM (SELECT suffix, cut, add, count(*) AS votes FROM sx GROUP BY suffix, cut, add) WHERE votes >= 2
+ QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY votes DESC, cut, add) = 1)"""
+
+
+def _endings(spark, sf_dir):
+    forms = table(spark, sf_dir, "benchmark").select(F.explode(words(F.col("text"))).alias("form")).distinct()
+    return forms.filter("length(form) > 3").select("form", F.expr(_ENDING).alias("lemma"))
+
+
+@query("tx2_learnt_rules", f"WITH {_RULES} SELECT suffix, cut, add, votes FROM ru")
+def learnt_rules(spark, sf_dir):
+    return lemma_rules.learn(_endings(spark, sf_dir)).withColumn("cut", F.col("cut").cast("bigint"))
+
+
+@query("tx2_unseen_lemmas", f"""WITH {_RULES}, fo AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORDS}')) AS form FROM documents),
+be AS (SELECT form, suffix, cut, add FROM (SELECT form, right(form, n) AS suffix FROM (SELECT form, unnest(range(1, least(length(form), 5) + 1)) AS n FROM fo))
+ JOIN ru USING (suffix) QUALIFY row_number() OVER (PARTITION BY form ORDER BY length(suffix) DESC) = 1)
+SELECT form, coalesce(en.lemma, nullif(substring(form, 1, length(form) - cut) || add, ''), form) AS lemma
+FROM fo LEFT JOIN en USING (form) LEFT JOIN be USING (form)""")
+def unseen_lemmas(spark, sf_dir):
+    known = _endings(spark, sf_dir)
+    forms = table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("form"))
+    return lemma_rules.apply(forms, known, lemma_rules.learn(known))
+
+
 TOKENS = f"""tk AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{WORDS}'), lambda w: regexp_full_match(w, '\\p{{L}}+')) AS w FROM d),
 tp AS (SELECT doc_id, lower(unnest(w)) AS lemma, generate_subscripts(w, 1) - 1 AS pos FROM tk),
 t AS (SELECT * FROM tp WHERE lemma NOT IN ({sql_list(lexical.STOP_WORDS)}))"""
