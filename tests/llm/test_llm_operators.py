@@ -343,9 +343,10 @@ def test_warc_chunks_are_bounded(spark):
 def hashed(spark, lines):
     """SimHashes and blocks of lines, with planes from all of them."""
     liner = op8_line_dedup.Liner()
-    counts = np.stack([liner.lines(x.encode())[4][0] for x in lines])
+    found = [liner.lines(x.encode()) for x in lines]
+    counts = np.stack([f[5][0] for f in found])
     df = spark.createDataFrame([(c.tobytes(),) for c in counts], "counts binary")
-    return op8_line_dedup.simhashes(counts, *op8_line_dedup.planes(df))
+    return np.array([f[3][0] for f in found]), op8_line_dedup.blocks(counts, *op8_line_dedup.planes(df))
 
 
 def test_line_dedup_equals_brute_force(spark, docs, empty):
@@ -367,7 +368,7 @@ def test_line_dedup_equals_brute_force(spark, docs, empty):
     names, links = list(index), []
     sims, blocks = hashed(spark, names)
     for i in range(len(names)):
-        near = (np.bitwise_count(sims[:i] ^ sims[i]) <= op8_line_dedup.NEAR) & (blocks[:i] == blocks[i]).any(axis=1)
+        near = op8_line_dedup.near(sims[:i], sims[i]) & (blocks[:i] == blocks[i]).any(axis=1)
         for j in np.flatnonzero(near).tolist():
             most = max(len(names[i]), len(names[j]))
             limit = int(0.2 * most + 1e-9)
@@ -400,7 +401,7 @@ def meeting(spark, pairs, others=()):
     """Share of pairs of lines that get to the edit distance."""
     sims, blocks = hashed(spark, [x for p in pairs for x in p] + list(others))
     n = 2 * len(pairs)
-    met = (blocks[0:n:2] == blocks[1:n:2]).any(axis=1) & (np.bitwise_count(sims[0:n:2] ^ sims[1:n:2]) <= op8_line_dedup.NEAR)
+    met = (blocks[0:n:2] == blocks[1:n:2]).any(axis=1) & op8_line_dedup.near(sims[0:n:2], sims[1:n:2])
     return met.mean()
 
 
