@@ -13,15 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from docmill.fixed_values import (
-    CLAUSE_KEYWORDS, DATE_PATTERN, PHONE_PATTERN,
+    CLAUSE_KEYWORDS, DATE_PATTERN, EMAIL_PATTERN, PHONE_PATTERN, SIGNER_PATTERN,
 )
 from docmill.functions.text import SPACE, WORD, bind, extract_all, no_strings
 
-_LOCAL = "[a-zA-Z0-9_.+-]"
+_LOCAL = EMAIL_PATTERN[:EMAIL_PATTERN.index("]") + 1]
 # A local part can only begin where a run of its characters begins or where the
 # previous match ended, and never gives characters back. So a long run without
 # "@" is read once instead of once per character.
-_EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
+_EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}+" + EMAIL_PATTERN.removeprefix(_LOCAL)
 
 _PHONE = "(?U)" + PHONE_PATTERN.replace(r"\s", r"\s\x1C-\x1F")
 
@@ -33,10 +33,10 @@ _DATE = "(?U)" + (
 # Possessive repeats: the words after the trigger are matched in a loop instead
 # of by recursion, which overflows the stack on long unpunctuated text. None of
 # them can be followed by a character it could give back.
-_SIGNER = (
-    r"(?iU)(?:signed by|signature|authorized signatory|attested by)"
-    rf"{SPACE}*+[:\-]?+{SPACE}*+([A-Z][a-z]++(?:{SPACE}[A-Z][a-z]++)*+)"
-)
+_SIGNER = SIGNER_PATTERN.replace("(", "(?:", 1)
+for _loose in (r"\s*", r"[:\-]?", "[a-z]+", ")*"):
+    _SIGNER = _SIGNER.replace(_loose, _loose + "+")
+_SIGNER = "(?iU)" + _SIGNER.replace(r"\s", SPACE)
 
 
 def emails(text: Column) -> Column:

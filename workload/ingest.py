@@ -8,7 +8,7 @@ import functools
 
 from pyspark.sql import DataFrame, functions as F
 
-from docmill.fixed_values import NO_FILE, NO_TEXT, UNSUPPORTED_TYPE
+from docmill.fixed_values import ACCEPTED_TYPES, IMAGE_TYPES, NO_FILE, NO_TEXT, UNSUPPORTED_TYPE
 from docmill.functions import files as file_functions
 from docmill.functions.text import preview
 from docmill.operators import pages as pages_op
@@ -16,7 +16,7 @@ from docmill.session import work_dir
 from docmill.sources import files, store
 from docmill.streaming.ingest import arriving_files, ingest, named_records, newest_files
 from workload.extraction import PAGES, _page_table
-from workload.registry import DOCS, FILENAME, documents, query, sql_not_blank, sql_strip, table
+from workload.registry import DOCS, FILENAME, documents, query, sql_list, sql_not_blank, sql_strip, table
 
 NAMES = f"""fn AS (SELECT 'd' || cast(doc_id AS string) AS id, {FILENAME} AS filename FROM documents
  UNION ALL SELECT 'p' || cast(page_id AS string), url || CASE page_id % 3 WHEN 0 THEN '.GIF' WHEN 1 THEN '.PDF' ELSE '' END FROM pages)"""
@@ -34,7 +34,7 @@ def _names(spark, sf_dir):
 _EXT = "lower(regexp_extract(filename, '[^.]*$'))"
 
 
-@query("io1_file_type", f"""WITH {NAMES} SELECT id, filename, CASE WHEN {_EXT} IN ('pdf', 'docx', 'xls', 'xlsx', 'png', 'jpg', 'jpeg')
+@query("io1_file_type", f"""WITH {NAMES} SELECT id, filename, CASE WHEN {_EXT} IN ({sql_list(ACCEPTED_TYPES)})
  THEN {_EXT} ELSE 'unknown' END AS file_type FROM fn""")
 def file_type(spark, sf_dir):
     return _names(spark, sf_dir).withColumn("file_type", file_functions.file_type(F.col("filename")))
@@ -42,7 +42,7 @@ def file_type(spark, sf_dir):
 
 @query("io2_route", f"""WITH {NAMES}, r AS (SELECT id, CASE filename WHEN '' THEN 'uploaded_file' ELSE filename END AS filename FROM fn)
 SELECT id, filename, CASE WHEN NOT contains(filename, '.') THEN 'text' WHEN {_EXT} = 'pdf' THEN 'pdf'
- WHEN {_EXT} IN ('png', 'jpg', 'jpeg', 'tiff', 'bmp', 'gif') THEN 'image' ELSE 'text' END AS route FROM r""")
+ WHEN {_EXT} IN ({sql_list(IMAGE_TYPES)}) THEN 'image' ELSE 'text' END AS route FROM r""")
 def route(spark, sf_dir):
     return _names(spark, sf_dir).select(
         "id", file_functions.filename_or_default(F.col("filename")).alias("filename"),
@@ -64,13 +64,22 @@ def decode_text(spark, sf_dir):
         "page_id", file_functions.decode_text(F.col("content")).alias("text"))
 
 
-@query("io4_scan_files")
+@query("io4_scan_files", f"""SELECT page_id, strlen(html) + 1 AS length, {sql_strip('html')} AS text,
+ CASE WHEN page_id % 2 = 0 THEN 'pdf' ELSE 'unknown' END AS file_type, CASE WHEN page_id % 2 = 0 THEN 'pdf' ELSE 'text' END AS route,
+ CASE WHEN page_id % 2 = 1 THEN '{UNSUPPORTED_TYPE}' END AS error FROM pages""")
 def scan_files(spark, sf_dir):
-    """The files of the data folder; their bytes are not read."""
-    name = files.base_name(F.col("path"))
-    return files.scan(spark, sf_dir).select(
-        name.alias("filename"), file_functions.file_type(name).alias("file_type"),
-        file_functions.route(name).alias("route"), "length")
+    """Files written from the pages, found again, decoded, and judged by their names."""
+    folder = work_dir(spark, "io4")
+    table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
+    page = F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("bigint")
+    found = files.scan(spark, folder, recursive=True).select(
+        page.alias("page_id"), "length", file_functions.decode_text(F.col("content")).alias("text"),
+        F.when(page % 2 == 0, F.concat(page, F.lit(".pdf"))).otherwise(F.concat(page, F.lit(".txt"))).alias("filename"))
+    kept, rejected = files.split_rejects(found.withColumn("pages", F.array("text")))
+    judged = kept.withColumn("error", F.lit(None).cast("string")).unionByName(rejected)
+    return judged.select(
+        "page_id", "length", file_functions.combine_texts(F.col("text"), F.expr("cast(array() as array<string>)")).alias("text"),
+        file_functions.file_type(F.col("filename")).alias("file_type"), file_functions.route(F.col("filename")).alias("route"), "error")
 
 
 @query("io5_pages", f"WITH {PAGES} SELECT doc_id, page, text FROM p")
@@ -215,8 +224,8 @@ def ingest_files(spark, sf_dir):
 
 
 @query("io9_upload_reply", f"""SELECT url AS filename, substring({sql_strip('html')}, 1, 500) AS text_preview,
- CASE WHEN lower(regexp_extract(url, '[^.]*$')) IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp', 'gif') THEN 0 ELSE 1 END AS decoded,
- 0 AS ocr_texts_count FROM (SELECT url, CASE WHEN lower(regexp_extract(url, '[^.]*$')) IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp', 'gif') THEN '' ELSE html END AS html FROM pages)""")
+ CASE WHEN lower(regexp_extract(url, '[^.]*$')) IN ({sql_list(('pdf', *IMAGE_TYPES))}) THEN 0 ELSE 1 END AS decoded,
+ 0 AS ocr_texts_count FROM (SELECT url, CASE WHEN lower(regexp_extract(url, '[^.]*$')) IN ({sql_list(('pdf', *IMAGE_TYPES))}) THEN '' ELSE html END AS html FROM pages)""")
 def upload_reply(spark, sf_dir):
     rows = files.read_texts(_page_files(spark, sf_dir))
     is_text = file_functions.route(F.col("filename")) == "text"
@@ -272,10 +281,10 @@ def ids_and_vectors(spark, sf_dir):
 
 
 @query("io14_rejects", f"""SELECT * FROM (SELECT doc_id, filename, CASE WHEN filename = '' THEN '{NO_FILE}'
- WHEN {_EXT} NOT IN ('pdf', 'docx', 'xls', 'xlsx', 'png', 'jpg', 'jpeg') THEN '{UNSUPPORTED_TYPE}'
+ WHEN {_EXT} NOT IN ({sql_list(ACCEPTED_TYPES)}) THEN '{UNSUPPORTED_TYPE}'
  WHEN doc_id % 4 = 0 THEN '{NO_TEXT}' END AS error FROM (SELECT doc_id, {FILENAME} AS filename FROM documents)) WHERE error IS NOT NULL
  UNION ALL SELECT doc_id, filename, 'kept' FROM (SELECT doc_id, {FILENAME} AS filename FROM documents)
- WHERE {_EXT} IN ('pdf', 'docx', 'xls', 'xlsx', 'png', 'jpg', 'jpeg') AND doc_id % 4 <> 0""")
+ WHERE {_EXT} IN ({sql_list(ACCEPTED_TYPES)}) AND doc_id % 4 <> 0""")
 def rejects(spark, sf_dir):
     pages = F.expr("case doc_id % 4 when 0 then array('', '') when 1 then array('', ' ') else array(text) end")
     uploads = documents(spark, sf_dir).select("doc_id", "filename", pages.alias("pages"))

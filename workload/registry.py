@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docmill.fixed_values import EMAIL_PATTERN, PHONE_PATTERN, SIGNER_PATTERN
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -81,17 +83,16 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 WORDS = r"[\p{L}\p{N}_]+"
 
 def sql_emails(x: str) -> str:
-    return rf"regexp_extract_all({x}, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+')"
+    return f"regexp_extract_all({x}, '{EMAIL_PATTERN}')"
 
 
 def sql_phones(x: str) -> str:
-    return rf"regexp_extract_all({x}, '\+?\p{{Nd}}[\p{{Nd}}{_WS}-]{{7,}}\p{{Nd}}')"
+    pattern = PHONE_PATTERN.replace(r"\d", r"\p{Nd}").replace(r"\s", _WS)
+    return f"regexp_extract_all({x}, '{pattern}')"
 
 
 def sql_signers(x: str) -> str:
-    triggers = "(signed by|signature|authorized signatory|attested by)"
-    return (rf"regexp_extract_all({x}, "
-            rf"'(?i){triggers}\s*[:\-]?\s*([A-Z][a-z]+(?:\s[A-Z][a-z]+)*)', 2)")
+    return f"regexp_extract_all({x}, '(?i){SIGNER_PATTERN}', 2)"
 
 
 def sql_strip(x: str) -> str:

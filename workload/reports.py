@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docmill.fixed_values import CLAUSE_KEYWORDS
+from docmill.fixed_values import ACCEPTED_TYPES, CLAUSE_KEYWORDS
 from docmill.functions import files as file_functions
 from docmill.operators import corpus, pages as pages_op
 from docmill.plans.analyze import analyze, rule_scores
@@ -13,12 +13,12 @@ from workload.extraction import (
     ENTITIES, GAZETTEER, MENTIONS, NAMES, TOTAL_CLAUSES, VERDICTS, COUNTS, gazetteer, _counts_sql, _present_sql,
 )
 from workload.registry import (
-    DOCS, ORACLES, FILENAME, TEXT, REPLY, documents, query, sql_emails, sql_not_blank, sql_phones, sql_signers,
+    DOCS, ORACLES, FILENAME, TEXT, REPLY, documents, query, sql_emails, sql_list, sql_not_blank, sql_phones, sql_signers,
 )
 from workload.summaries import FREQUENCY_SUMMARY
 
 _EXT = "lower(regexp_extract(filename, '[^.]*$'))"
-_TYPE = f"CASE WHEN {_EXT} IN ('pdf', 'docx', 'xls', 'xlsx', 'png', 'jpg', 'jpeg') THEN {_EXT} ELSE 'unknown' END"
+_TYPE = f"CASE WHEN {_EXT} IN ({sql_list(ACCEPTED_TYPES)}) THEN {_EXT} ELSE 'unknown' END"
 
 # analyses without names, summaries and keywords: what one scan gives
 ANALYSES = f"""{DOCS}, c AS (SELECT doc_id, {_TYPE} AS file_type,
