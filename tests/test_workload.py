@@ -6,7 +6,10 @@ import pytest
 
 import __spark_entry__ as contract
 from tools.check import compare, connect
+from docmill.operators import lexical
 from workload import ORACLES, QUERIES
+from workload.extraction import lemma_table
+from workload.registry import documents
 
 
 @pytest.fixture(scope="module")
@@ -60,8 +63,10 @@ def test_plans_on_many_files(spark, sf, tmp_path):
         assert shape(str(tmp_path)) == shape(sf), name
 
 
-def test_word_operators_share_one_text_shuffle(spark, sf):
-    df = QUERIES["sm1_frequency_summary"](spark, sf)
+def test_word_operators_share_one_text_shuffle(spark, sf, monkeypatch):
+    """With lemmas too many to be broadcast."""
+    monkeypatch.setattr(lexical, "is_small", lambda d: False)
+    df = lexical.frequency_summary(documents(spark, sf), lemmas=lemma_table(spark, sf))
     df.collect()
     final = plan_of(df).split("Initial Plan")[0]
     assert "ReusedExchange" in final
