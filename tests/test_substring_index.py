@@ -48,3 +48,12 @@ def test_a_lookup_tells_the_scan_its_trigrams(spark, corpus):
     assert "In(gram, [" in plan._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         search(df, path, spark.createDataFrame([(1, "a")], "query_id long, query string"), -1)
+
+
+def test_tasks_gather_posting_lists_before_the_shuffle(spark, tmp_path):
+    docs = spark.range(0, 3000, numPartitions=3).selectExpr("id as doc_id", "'one and the same text' as text")
+    substring_index.build(docs, str(tmp_path))
+    rows = spark.read.parquet(f"{tmp_path}/postings")
+    entries = rows.selectExpr("gram", "explode(docs) as doc_id")
+    assert entries.count() == entries.distinct().count() == 3000 * len("one and the same text")
+    assert rows.count() <= entries.count() / 100 and rows.selectExpr("max(size(docs))").first()[0] <= substring_index.PIECE
