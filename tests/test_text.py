@@ -71,3 +71,25 @@ def test_join_in_order_after_a_shuffle(spark):
     df = spark.createDataFrame(rows, "k int, pos int, s string").repartition(7)
     joined = df.groupBy("k").agg(T.join_in_order(F.col("pos"), F.col("s"), "|").alias("j")).first()
     assert joined["j"] == "|".join(f"s{i}" for i in range(200))
+
+
+def test_word_work_holds_the_objects_of_few_values():
+    import pyarrow as pa
+
+    from docmill.functions import wordwise
+
+    alive, most = [0], [0]
+
+    class Counted(list):
+        def __init__(self):
+            super().__init__([1])
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+
+        def __del__(self):
+            alive[0] -= 1
+
+    values = pa.array([None, *map(str, range(2000))])
+    out = wordwise.in_slices(lambda v: Counted(), values, pa.list_(pa.int64()))
+    assert out.to_pylist() == [None] + [[1]] * 2000 and most[0] <= 2 * wordwise.SLICE
+    assert len(wordwise.in_slices(len, values[:0], pa.int64())) == 0
