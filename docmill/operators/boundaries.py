@@ -11,27 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docmill.functions import wordwise
-from docmill.functions.text import split_space
-from docmill.session import is_small
 
 # Parameters of the decision.
 LEAST, DOT_SHARE, ON_SHARE, MOST_CHARS = 5, 0.9, 0.3, 8
 
-_EDGE = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
-
-
 def abbreviation_counts(docs: DataFrame) -> DataFrame:
     """``word, n_dot, n_plain, n_on`` over ``docs (text)``: how often a word, in lower case and
     without marks at its ends, stands with a full stop, without, and with one that a small
-    letter or a digit follows. Null texts count nothing."""
-    tokens = split_space(F.col("text"))
-    pairs = docs.select(tokens.alias("t")).select(F.explode(F.arrays_zip(
-        F.col("t").alias("token"), F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(1))).alias("after"))).alias("p"))
-    word = F.lower(F.regexp_replace("p.token", _EDGE, ""))
-    dot = F.col("p.token").rlike(r"[\p{L}\p{N}_]\.$")
-    on = dot & F.coalesce(F.col("p.after").rlike(r"^[\p{Ll}\p{Nd}]"), F.lit(False))
-    return pairs.select(word.alias("word"), dot.alias("dot"), on.alias("on")).where("word <> ''").groupBy("word").agg(
-        F.count_if("dot").alias("n_dot"), F.count_if(~F.col("dot")).alias("n_plain"), F.count_if("on").alias("n_on"))
+    letter or a digit follows. Null texts count nothing. Tasks add up before the shuffle."""
+    partial = docs.select("text").mapInArrow(
+        wordwise.stop_counts, "word string, n_dot long, n_plain long, n_on long")
+    return partial.groupBy(F.lower("word").alias("word")).agg(
+        *[F.sum(n).alias(n) for n in ("n_dot", "n_plain", "n_on")])
 
 
 def abbreviations(counts: DataFrame, least: int = LEAST, dot_share: float = DOT_SHARE, on_share: float = ON_SHARE,
@@ -43,12 +34,13 @@ def abbreviations(counts: DataFrame, least: int = LEAST, dot_share: float = DOT_
         & (F.col("n_on") >= on_share * F.col("n_dot"))).select("word")
 
 
-def known_words(words: DataFrame):
-    """A broadcast set of ``(word)``, measured first; none of them may be dropped, so a table
-    too large for it is an error (ask for more evidence then)."""
-    if not is_small(words):
+def known_words(words: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20):
+    """A broadcast set of ``(word)``, measured as it comes; none of them may be dropped, so a
+    table too large for it is an error (ask for more evidence then). ``words`` runs once."""
+    found = [r.word for r in words.limit(max_rows + 1).collect()]
+    if len(found) > max_rows or sum(len(w.encode()) for w in found) > max_bytes:
         raise ValueError("too many abbreviations to broadcast; raise `least` or the shares")
-    return words.sparkSession.sparkContext.broadcast(frozenset(r.word for r in words.collect()))
+    return words.sparkSession.sparkContext.broadcast(frozenset(found))
 
 
 def sentences(text: Column, known) -> Column:

@@ -1,10 +1,12 @@
 """Learnt sentence boundaries against a plain walk."""
 
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from docmill.functions.wordwise import best_sentences, sentence_list
+from docmill.functions.wordwise import bare, best_sentences, sentence_list
 from docmill.operators import boundaries, lexical, summaries
 from tests import twins
 
@@ -59,3 +61,23 @@ def test_summaries_take_learnt_boundaries(spark):
     assert learnt == best_sentences(text, 1, 20, frozenset(lexical.STOP_WORDS), {}, frozenset({"art"}))
     one = df.select(summaries.heuristic_summary(F.col("text"), 1, listed=boundaries.sentences(F.col("text"), known)).alias("s")).first().s
     assert one == text[:54]
+
+
+def test_counting_runs_once_and_marks_inside_a_token_cost_no_square(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(t,) for t in CORPUS if t], "text string").mapInArrow(passed, "text string")
+    known = boundaries.known_words(boundaries.abbreviations(boundaries.abbreviation_counts(rows)))
+    assert known.value == {"art", "inc"} and seen.value == sum(1 for t in CORPUS if t)
+    token = "(a" + "-" * 1_000_000 + "b."
+    start = time.monotonic()
+    assert bare(token) == token[1:-1] and bare("--") == bare("") == "" and bare("_x!") == "_x"
+    assert sentence_list(f"{token} And {token} So.", frozenset({token[1:-1]})) == [f"{token} And {token} So."]
+    assert time.monotonic() - start < 5
+    with pytest.raises(ValueError):
+        boundaries.known_words(spark.createDataFrame([("a",), ("b",)], "word string"), max_rows=1)
