@@ -67,3 +67,21 @@ def test_reading_scans_changes_only(spark, tmp_path):
     assert plan.inputFiles() and all("/changes/" in f for f in plan.inputFiles())
     assert spark.read.parquet(f"{root}/changes/seq=0").count() <= 3 * 4 + 4
     assert store.read(spark, f"{root}/facts", summary.FACTS).where(F.col("clauses").isNull()).count() == 0
+
+
+def test_the_maintained_report_analyses_each_document_once(spark, sf, monkeypatch):
+    from workload import reports
+
+    seen, plain = spark.sparkContext.accumulator(0), reports.analyses
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def watched(spark, sf_dir):
+        rows = plain(spark, sf_dir).limit(60)
+        return rows.mapInArrow(counted, rows.schema)
+
+    monkeypatch.setattr(reports, "analyses", watched)
+    assert reports.maintained_report(spark, sf).first().total_documents == 60 and seen.value == 60
