@@ -196,3 +196,19 @@ def test_embedding_and_chunks(spark, docs):
         assert r.c == ([t] if len(t) <= 1000 else [t[i:i + 900] for i in range(0, len(t), 900)])
     nulls = spark.createDataFrame([(None,), ("b",)], "t string").select(codepoint_sum(F.col("t")).alias("n"))
     assert sorted(r.n or 0 for r in nulls.collect()) == [0, 98]
+
+
+def test_keywords_and_summary_come_from_one_reading_of_the_text(spark):
+    rows = [(1, "The cat sat on the mat, the Cat slept. A dog barked at the cat! x1 mats? Mats of cats lie here today."),
+            (2, ""), (3, None), (4, "One. one. ONE two. two")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    both = lexical.with_words(df)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.split("ArrowEvalPython")[1].split("\n")[0].count("run(") == 1
+    top = {r.doc_id: [] for r in df.collect()}
+    for r in sorted(lexical.top_keywords(df).collect()):
+        top[r.doc_id].append((r.rank, r.lemma, r.n))
+    summary = {r.doc_id: r.summary for r in lexical.frequency_summary(df).collect()}
+    for r in both.collect():
+        assert [tuple(k) for k in r.keyword_frequency or []] == top[r.doc_id] and r.summary == summary[r.doc_id]
+    assert top[1][:2] == [(1, "cat", 3), (2, "mats", 2)] and top[4] == [(1, "one", 3), (2, "two", 2)]
